@@ -81,7 +81,7 @@ def address_score(query, texts, house_number, importance) -> Column:
     """Phrase 100, share of query words 40, house number +80 or -100, importance."""
     wanted = plain_words(query)
     tokens = F.filter(F.split(wanted, r"\s+"), lambda t: t != "")
-    text = plain_words(F.concat_ws(" ", *[F.nullif(col(t), F.lit("")) for t in texts]))
+    text = plain_words(F.concat_ws(" ", *[F.nullif(col(t).cast("string"), F.lit("")) for t in texts]))
     words = F.split(text, r"\s+")
     number = F.when(F.get(tokens, F.lit(0)).rlike(HOUSE_NUMBER), F.get(tokens, F.lit(0)))
     found = F.size(F.filter(tokens, lambda t: F.array_contains(words, t)))
@@ -95,7 +95,7 @@ def address_score(query, texts, house_number, importance) -> Column:
 
 def short_address(display_name, lat, lng) -> Column:
     """First three comma parts, or the coordinates when there is no name."""
-    parts = F.transform(F.split(col(display_name), ","), F.trim)
+    parts = F.transform(F.split(col(display_name), ","), lambda p: F.trim(p))
     name = F.trim(F.array_join(F.slice(parts, 1, 3), ", "))
     return F.when(F.coalesce(col(display_name), F.lit("")) != "", name).otherwise(
         F.format_string("%.4f, %.4f", col(lat), col(lng)))

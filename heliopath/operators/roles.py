@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_DETOUR = 1.35
 MAX_DURATION_RATIO = 1.60
 MIN_GLARE_GAIN = 0.05
@@ -207,6 +209,19 @@ def best_available(candidates: DataFrame) -> DataFrame:
     ).select("od_id", F.col("_b.route_id").alias("best_route_id"), F.col("_b.direct_wh").alias("best_wh"))
 
 
+def compare_routes(candidates: DataFrame, refine) -> DataFrame:
+    """From candidates to roles: ceiling, shortlist, refinement, tier, reductions.
+
+    ``refine`` maps the shortlisted rows to refined metrics (see
+    ``comparable_tier``). The stage results are read several times each, so they
+    are written once rather than recomputed.
+    """
+    pool = cut_lineage(within_duration_ceiling(candidates))
+    listed = cut_lineage(pool.join(precision_shortlist(pool), ["od_id", "route_id"], "left_semi"))
+    tier = cut_lineage(comparable_tier(listed, refine(listed)))
+    return exposure_reductions(tier, select_roles(tier))
+
+
 def via_budget(distinct_direct, requested: int = 2) -> Column:
     return F.when(_c(distinct_direct) >= 3, 0).otherwise(min(2, max(0, requested)))
 

@@ -129,7 +129,7 @@ def element_points() -> Column:
 
 def buildings_of(elements: DataFrame, order: list[str]) -> DataFrame:
     """Building elements with a height envelope; the first copy of an id wins."""
-    from ..functions.osm import height_model
+    from ..functions.osm import HEIGHT_COLUMNS, with_height_model
     from ..operators.tiles import first_of_each
 
     tag = F.coalesce(F.col("tags")["building"], F.col("tags")["building:part"])
@@ -137,8 +137,8 @@ def buildings_of(elements: DataFrame, order: list[str]) -> DataFrame:
     key = F.coalesce(F.col("id").cast("string"), F.to_json("points"))
     rows = first_of_each(rows.withColumn("building", tag), key, order)
     t = F.col("tags")
-    return rows.withColumn("_h", height_model(t["height"], t["building:levels"], t["min_height"], t["building:min_level"])
-                           ).select("id", "building", "points", "_h.*")
+    rows = with_height_model(rows, t["height"], t["building:levels"], t["min_height"], t["building:min_level"])
+    return rows.select("id", "building", "points", *HEIGHT_COLUMNS)
 
 
 def tunnels_of(elements: DataFrame, order: list[str]) -> DataFrame:

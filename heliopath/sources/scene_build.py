@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import RAD, tile_of, unproject
-from ..functions.osm import height_model
+from ..functions.osm import HEIGHT_COLUMNS, with_height_model
 
 GRID = (38.0, -81.0, math.cos(43.0 * RAD))
 TILE_M = 5000.0
@@ -91,10 +91,10 @@ def building_table(shapes: DataFrame, tags: DataFrame, dem_lines: DataFrame, gri
     ``tags``: way_id, tag_height, tag_levels, tag_min_height, tag_min_level.
     """
     rows = shapes.filter(F.col("way_kind") == "building").join(tags, "way_id", "left")
-    rows = rows.withColumn("_h", height_model("tag_height", "tag_levels", "tag_min_height", "tag_min_level"))
+    rows = with_height_model(rows, "tag_height", "tag_levels", "tag_min_height", "tag_min_level")
     rows = with_elevation(with_tile(rows, grid=grid), dem_lines, "center_lat", "center_lng")
     return rows.select("tx", "ty", F.concat(F.lit("way/"), F.col("way_id").cast("string")).alias("id"),
-                       F.col("line").alias("polygon"), "center_lat", "center_lng", "_h.*", "ground",
+                       F.col("line").alias("polygon"), "center_lat", "center_lng", *HEIGHT_COLUMNS, "ground",
                        F.lit(TERRAIN_ERROR_M).alias("ground_error_m"))
 
 
