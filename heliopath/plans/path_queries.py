@@ -303,7 +303,7 @@ def j14(spark, sf):
 
 
 COPIES = """c AS (SELECT route_id, 2*route_id AS cid, v_idx, lat, lng FROM fx_route_vertices UNION ALL
- SELECT route_id, 2*route_id+1, v_idx, lat+0.0002, lng FROM fx_route_vertices WHERE route_id%3=0)"""
+ SELECT route_id, 2*route_id+1, v_idx, lat+0.0002, lng FROM fx_route_vertices)"""
 
 
 @query("A3_A4_J13_similar_pairs", f"""{cte('fx_route_vertices', 'fx_routes')}, {COPIES},
@@ -323,7 +323,7 @@ def a3(spark, sf):
 
 def _copied_candidates(spark, sf):
     v = _verts(spark, sf)
-    twin = v.filter("route_id % 3 = 0").select((F.col("route_id") * 2 + 1).alias("route_id"), "v_idx",
+    twin = v.select((F.col("route_id") * 2 + 1).alias("route_id"), "v_idx",
                                                 (F.col("lat") + 0.0002).alias("lat"), "lng")
     both = v.select((F.col("route_id") * 2).alias("route_id"), "v_idx", "lat", "lng").unionByName(twin)
     run = paths.with_running_m(paths.route_segments(both))
@@ -357,16 +357,15 @@ def f19(spark, sf):
 
 @query("F19_route_identity", f"""{BOTH},
 r AS (SELECT route_id, max(total_m) dm FROM ({S.running()}) GROUP BY 1),
-e AS (SELECT route_id, arg_min(lat,v_idx) a, arg_min(lng,v_idx) b, arg_max(lat,v_idx) c, arg_max(lng,v_idx) d, max(v_idx)+1 n,
+e AS (SELECT route_id, arg_min(lat,v_idx) a, arg_min(lng,v_idx) b, arg_max(lat,v_idx) c, arg_max(lng,v_idx) d, 
  string_agg(concat(printf('%.4f',lng),',',printf('%.4f',lat)),';' ORDER BY v_idx) g FROM fx_route_vertices GROUP BY 1)
 SELECT route_id, concat('route-',printf('%.3f',dm),'-',printf('%.5f',duration_sec),'-',printf('%.5f',a),'-',printf('%.5f',b),'-',printf('%.5f',c),'-',printf('%.5f',d),'-',g) AS identity
-FROM e JOIN r USING (route_id) JOIN fx_routes USING (route_id) WHERE n<=12""")
+FROM e JOIN r USING (route_id) JOIN fx_routes USING (route_id)""")
 def f19b(spark, sf):
     run = _running(spark, sf)
-    arrays = similarity.sample_arrays(similarity.sample_routes(run, 12))
+    arrays = similarity.sample_arrays(similarity.sample_routes(run, 64))
     v = _verts(spark, sf)
-    e = v.groupBy("route_id").agg(F.min_by(F.struct("lat", "lng"), "v_idx").alias("s"), F.max_by(F.struct("lat", "lng"), "v_idx").alias("e"),
-                                  (F.max("v_idx") + 1).alias("n")).filter("n <= 12")
+    e = v.groupBy("route_id").agg(F.min_by(F.struct("lat", "lng"), "v_idx").alias("s"), F.max_by(F.struct("lat", "lng"), "v_idx").alias("e"))
     rows = e.join(arrays, "route_id").join(run.filter("seg_idx = 0").select("route_id", "total_m"), "route_id").join(routes(spark, sf), "route_id")
     text = keys.route_identity(F.lit(0.0), "duration_sec", (F.col("s.lat"), F.col("s.lng")), (F.col("e.lat"), F.col("e.lng")),
                                keys.geometry_signature("samples"), "route_id")
