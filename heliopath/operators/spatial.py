@@ -131,7 +131,8 @@ def _segments_near(points: DataFrame, segments: DataFrame, radius: float, point_
     pairs = pairs.withColumn("snap_lat", along("lat1", "lat2", "t")).withColumn("snap_lng", along("lng1", "lng2", "t"))
     pairs = pairs.withColumn("distance", haversine_m("lat", "lng", "snap_lat", "snap_lng")).filter(
         F.col("distance") <= radius)
-    order = F.struct(F.col("distance") if score is None else score, F.col("seg_idx"))
+    # Whole micrometres: where two segments meet, the lower one wins.
+    order = F.struct(F.round("distance", 6) if score is None else score, F.col("seg_idx"))
     fields = ["seg_idx", "t", "snap_lat", "snap_lng", "distance", "lat1", "lng1", "lat2", "lng2", *carry]
     return pairs.groupBy(point_id).agg(F.min_by(F.struct(*fields), order).alias("_hit")).select(point_id, "_hit.*")
 

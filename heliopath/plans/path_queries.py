@@ -238,9 +238,6 @@ def f40(spark, sf):
     return rounded(similarity.sample_routes(_running(spark, sf), 4), 6, "lat", "lng")
 
 
-PICK = """(CASE WHEN {w}>0 THEN EXISTS (SELECT 1 FROM range({w}) q(i) WHERE floor(i*({n}-1)/greatest(1,{w}-1)::DOUBLE+0.5)={k}) ELSE false END)"""
-
-
 @query("W11_T7_precision_geometry", f"""{VERTS},
 r AS MATERIALIZED (SELECT route_id, seg_idx, seg_m, heading, end_m, total_m FROM ({S.running()})),
 b AS (SELECT route_id, max(total_m) tm, max(seg_idx)+2 mp FROM r GROUP BY 1 HAVING max(total_m)>0),

@@ -44,13 +44,13 @@ def t2(spark, sf):
 
 
 @query("J22_P6_P7_P8_tradeoffs", f"""{CAND}, {TRADE}
-SELECT od_id, route_id, round(detour_ratio,6) AS detour_ratio, extra_s, round(glare_gain,6) AS glare_gain, round(energy_cut_pct,6) AS energy_cut_pct,
+SELECT od_id, route_id, round(detour_ratio,9) AS detour_ratio, extra_s, round(glare_gain,6) AS glare_gain, round(energy_cut_pct,6) AS energy_cut_pct,
  round(sunlit_saved_s,6) AS sunlit_saved_s, round(sunlit_saved_pct,6) AS sunlit_saved_pct, {GLARE} AS glare_ok, {SHADE} AS shade_ok, {PROMISE} AS promising FROM t""")
 def j22(spark, sf):
     t = roles.tradeoffs(_cand(spark, sf)).withColumns({
         "glare_ok": roles.meaningful_glare(), "shade_ok": roles.meaningful_shade(), "promising": roles.promising_shade()})
     names = ["detour_ratio", "glare_gain", "energy_cut_pct", "sunlit_saved_s", "sunlit_saved_pct"]
-    return rounded(t, 6, *names).select("od_id", "route_id", "extra_s", *names, "glare_ok", "shade_ok", "promising")
+    return rounded(rounded(t, 9, "detour_ratio"), 6, *names[1:]).select("od_id", "route_id", "extra_s", *names, "glare_ok", "shade_ok", "promising")
 
 
 @query("T3_roles", f"{CAND}, {TRADE}, {ROLES} SELECT * FROM roles")

@@ -31,7 +31,7 @@ def _shapes(spark, sf):
 def _dem(spark, sf):
     """Raster lines for every degree square with nodes; (row * 7 + col * 13) % 400, void below 5."""
     squares = view(spark, sf, "fx_osm_nodes").select(F.floor("lat").cast("int").alias("north"), F.floor("lng").cast("int").alias("west")).distinct()
-    rows = squares.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(3600))))
+    rows = squares.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(3600)))).repartition("north", "west", "row")
     value = lambda c: (F.col("row") * 7 + c * 13) % 400
     line = F.transform(F.sequence(F.lit(0), F.lit(3600)), lambda c: F.when(value(c) >= 5, value(c)).cast("smallint"))
     return rows.withColumn("elev", line)

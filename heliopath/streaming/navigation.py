@@ -64,14 +64,22 @@ def with_near(fixes: DataFrame, lookup: DataFrame, ends: DataFrame, radius: floa
         {"band": F.col("_c.band"), "cx": F.col("_c.cx"), "cy": F.col("_c.cy")}).drop("_c")
     rows = rows.join(lookup, ["route_id", "band", "cx", "cy"], "left").join(ends, "route_id", "left")
 
-    def candidate(s: Column) -> Column:
+    def foot(s: Column) -> Column:
         t = segment_fraction("lat", "lng", s["lat1"], s["lng1"], s["lat2"], s["lng2"])
-        lat, lng = along(s["lat1"], s["lat2"], t), along(s["lng1"], s["lng2"], t)
-        return F.struct(s["seg_idx"].alias("seg"), t.alias("t"), lat.alias("lat"), lng.alias("lng"),
-                        haversine_m("lat", "lng", lat, lng).alias("gap"),
+        return F.struct(s.alias("s"), t.alias("t"))
+
+    def place(f: Column) -> Column:
+        s = f["s"]
+        return F.struct(s["seg_idx"].alias("seg"), f["t"].alias("t"), along(s["lat1"], s["lat2"], f["t"]).alias("lat"),
+                        along(s["lng1"], s["lng2"], f["t"]).alias("lng"),
                         bearing_deg(s["lat1"], s["lng1"], s["lat2"], s["lng2"]).alias("bearing"))
 
-    near = F.sort_array(F.filter(F.transform("segments", candidate), lambda c: c["gap"] <= radius))
+    def measured(p: Column) -> Column:
+        return F.struct(p["seg"].alias("seg"), p["t"].alias("t"), p["lat"].alias("lat"), p["lng"].alias("lng"),
+                        haversine_m("lat", "lng", p["lat"], p["lng"]).alias("gap"), p["bearing"].alias("bearing"))
+
+    placed = F.transform(F.transform(F.transform("segments", foot), place), measured)
+    near = F.sort_array(F.filter(placed, lambda c: c["gap"] <= radius))
     return rows.withColumn("near", near).withColumn(
         "goal_m", haversine_m("lat", "lng", "end_lat", "end_lng")).drop("segments", "band", "cx", "cy", "end_lat", "end_lng")
 
