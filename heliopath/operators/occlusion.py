@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import RAD, angle_between, planar_segment_m, project, rad, ray_polygon_m
-from .spatial import RAY_CELL_M, cell, cells_around, cells_of_box, explode_cells, nearest_within, ray_cells
+from .spatial import RAY_CELL_M, cells_around, cells_of_box, explode_cells, explode_ray, nearest_within
 
 RAY_M = 4500.0
 PROBES_M = (250.0, 600.0, 1200.0, 2400.0)
@@ -55,7 +55,7 @@ def ray_hits(points: DataFrame, buildings: DataFrame, reach_m: float = RAY_M, by
     by = by or []
     b_cols = ["polygon", *(building_columns or [])]
     p_cols = ["x", "y", "dir_x", "dir_y", *(point_columns or [])]
-    p = explode_cells(points.select("point_id", *by, *p_cols), ray_cells("x", "y", "dir_x", "dir_y", reach_m, cell_m))
+    p = explode_ray(points.select("point_id", *by, *p_cols), "x", "y", F.col("dir_x") * reach_m, F.col("dir_y") * reach_m, cell_m)
     b = explode_cells(buildings.select("building_id", *by, "min_x", "max_x", "min_y", "max_y", *b_cols),
                       cells_of_box("min_x", "max_x", "min_y", "max_y", cell_m))
     ahead = (F.when(F.col("dir_x") > 0, F.col("max_x") >= F.col("x")).otherwise(F.col("min_x") <= F.col("x"))
@@ -130,7 +130,7 @@ def near_tunnel(points: DataFrame, tunnel_segments: DataFrame, max_m: float = TU
         F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("_e")).select("point_id", *by, "_e.*")
     size = 4 * max_m
     p = explode_cells(ends, cells_around("x", "y", size))
-    t = explode_cells(tunnel_segments, ray_cells("ax", "ay", F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"), 1.0, size))
+    t = explode_ray(tunnel_segments, "ax", "ay", F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"), size)
     hit = p.join(t, [*by, "cx", "cy"]).filter(planar_segment_m("x", "y", "ax", "ay", "bx", "by_") < max_m)
     return hit.select("point_id").distinct()
 

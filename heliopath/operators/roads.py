@@ -9,7 +9,7 @@ from ..functions.geo import angle_between, haversine_m, point_segment_m, way_bea
 from ..functions.keys import country_cell
 from ..functions.places import address_score, looks_like_street, normalize_country
 from ..session import cut_lineage
-from .spatial import explode_geo, geo_point_cells, geo_segment_cells
+from .spatial import explode_geo_points, explode_geo_segments
 
 ROAD_M, STOP_M, BOOTH_M = 45.0, 45.0, 90.0
 NAME_BONUS = 80.0
@@ -34,9 +34,8 @@ def best_road(fixes: DataFrame, roads: DataFrame, within_m: float = ROAD_M) -> D
     a, b = F.element_at("line", F.col("_i")), F.element_at("line", F.col("_i") + 1)
     parts = parts.select("way_id", *tags, "_bearing", a["lat"].alias("lat1"), a["lng"].alias("lng1"),
                          b["lat"].alias("lat2"), b["lng"].alias("lng2"))
-    parts = explode_geo(parts, geo_segment_cells("lat1", "lng1", "lat2", "lng2", within_m))
-    near = explode_geo(fixes.select("fix_id", "lat", "lng", "heading", "road_name"),
-                       geo_point_cells("lat", "lng", within_m))
+    parts = explode_geo_segments(parts, within_m)
+    near = explode_geo_points(fixes.select("fix_id", "lat", "lng", "heading", "road_name"), "lat", "lng", within_m)
     pairs = near.join(parts, ["band", "cx", "cy"])
     pairs = pairs.withColumn("_m", point_segment_m("lat", "lng", "lat1", "lng1", "lat2", "lng2")).filter(
         F.col("_m") <= within_m)
@@ -52,9 +51,9 @@ def best_road(fixes: DataFrame, roads: DataFrame, within_m: float = ROAD_M) -> D
 
 def near_points(fixes: DataFrame, signs: DataFrame, within_m: float, out: str) -> DataFrame:
     """fix_id with a flag that some sign lies within ``within_m``."""
-    near = explode_geo(fixes.select("fix_id", "lat", "lng"), geo_point_cells("lat", "lng", within_m))
-    at = explode_geo(signs.select(F.col("lat").alias("_lat"), F.col("lng").alias("_lng")),
-                     geo_point_cells("_lat", "_lng", within_m, around=False))
+    near = explode_geo_points(fixes.select("fix_id", "lat", "lng"), "lat", "lng", within_m)
+    at = explode_geo_points(signs.select(F.col("lat").alias("_lat"), F.col("lng").alias("_lng")), "_lat", "_lng",
+                            within_m, around=False)
     hit = near.join(at, ["band", "cx", "cy"]).filter(haversine_m("lat", "lng", "_lat", "_lng") <= within_m)
     hit = hit.select("fix_id").distinct().withColumn(out, F.lit(True))
     return fixes.select("fix_id").join(hit, "fix_id", "left").withColumn(out, F.coalesce(out, F.lit(False)))

@@ -29,26 +29,26 @@ def cells_of_box(min_x, max_x, min_y, max_y, size: float) -> Column:
                                  lambda cx: F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def ray_cells(x, y, dir_x, dir_y, length: float, size: float) -> Column:
-    """Every cell a straight ray passes: per column of cells, the rows it spans.
+def explode_ray(df: DataFrame, x, y, dx, dy, size: float) -> DataFrame:
+    """One row per grid cell (cx, cy) the straight line x, y .. x+dx, y+dy passes.
 
-    A hit lies both in a passed cell and in a cell of the target's box, so the
-    target needs no margin. Nearly vertical rays take their whole span of rows.
+    Per column of cells the rows it spans are listed. A hit lies both in a passed
+    cell and in a cell of the target's box, so the target needs no margin. Nearly
+    vertical lines take their whole span of rows.
     """
-    x, y, dx, dy = col(x), col(y), col(dir_x), col(dir_y)
-    x1, y1 = x + dx * length, y + dy * length
-    left, right, low, high = F.least(x, x1), F.greatest(x, x1), F.least(y, y1), F.greatest(y, y1)
-    slope = F.when(F.abs(dx) > 1e-9, dy / dx)
-
-    def column(cx: Column) -> Column:
-        at = lambda edge: F.least(high, F.greatest(low, y + (edge - x) * slope))
-        a = at(F.greatest(left, cx * size))
-        b = at(F.least(right, (cx + 1) * size))
-        bottom = F.floor(F.coalesce(F.least(a, b), low) / size - 1e-9)
-        top = F.floor(F.coalesce(F.greatest(a, b), high) / size + 1e-9)
-        return F.transform(F.sequence(bottom, top), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
-
-    return F.flatten(F.transform(F.sequence(F.floor(left / size - 1e-9), F.floor(right / size + 1e-9)), column))
+    out = df.withColumns({"_rx": col(x), "_ry": col(y), "_rdx": col(dx), "_rdy": col(dy)})
+    x0, y0, x1, y1 = F.col("_rx"), F.col("_ry"), F.col("_rx") + F.col("_rdx"), F.col("_ry") + F.col("_rdy")
+    out = out.withColumns({"_le": F.least(x0, x1), "_ri": F.greatest(x0, x1), "_lo": F.least(y0, y1), "_hi": F.greatest(y0, y1),
+                           "_sl": F.when(F.abs("_rdx") > 1e-6, F.col("_rdy") / F.col("_rdx"))})
+    out = out.withColumn("cx", F.explode(F.sequence(F.floor(F.col("_le") / size - 1e-9), F.floor(F.col("_ri") / size + 1e-9))))
+    at = lambda edge: F.least(F.col("_hi"), F.greatest(F.col("_lo"), y0 + (edge - x0) * F.col("_sl")))
+    out = out.withColumns({"_ya": at(F.greatest(F.col("_le"), F.col("cx") * size)),
+                           "_yb": at(F.least(F.col("_ri"), (F.col("cx") + 1) * size))})
+    # Without a slope the bounds above are the span's ends, so both are taken.
+    low = F.when(F.col("_sl").isNull(), F.col("_lo")).otherwise(F.least("_ya", "_yb"))
+    high = F.when(F.col("_sl").isNull(), F.col("_hi")).otherwise(F.greatest("_ya", "_yb"))
+    out = out.withColumn("cy", F.explode(F.sequence(F.floor(low / size - 1e-9), F.floor(high / size + 1e-9))))
+    return out.drop("_rx", "_ry", "_rdx", "_rdy", "_le", "_ri", "_lo", "_hi", "_sl", "_ya", "_yb")
 
 
 def explode_cells(df: DataFrame, cells: Column) -> DataFrame:
@@ -125,7 +125,7 @@ def _segments_near(points: DataFrame, segments: DataFrame, radius: float, point_
     ax, ay = _plane("lat1", "lng1", F.col("_cos"))
     bx, by = _plane("lat2", "lng2", F.col("_cos"))
     s = segments.select("route_id", "seg_idx", "lat1", "lng1", "lat2", "lng2", "_cos", *carry)
-    s = explode_cells(s, ray_cells(ax, ay, bx - ax, by - ay, 1.0, radius))
+    s = explode_ray(s, ax, ay, bx - ax, by - ay, radius)
     pairs = near.join(s.drop("_cos"), ["route_id", "cx", "cy"])
     pairs = pairs.withColumn("t", segment_fraction("lat", "lng", "lat1", "lng1", "lat2", "lng2"))
     pairs = pairs.withColumn("snap_lat", along("lat1", "lat2", "t")).withColumn("snap_lng", along("lng1", "lng2", "t"))
@@ -176,8 +176,8 @@ def _band_scale(band: Column) -> Column:
     return F.cos(widest * RAD) * (RAD * EARTH_RADIUS_M)
 
 
-def geo_point_cells(lat, lng, radius: float, around: bool = True) -> Column:
-    """Cells (band, cx, cy) of a coordinate on a world grid of ``radius`` cells.
+def explode_geo_points(df: DataFrame, lat, lng, radius: float, around: bool = True) -> DataFrame:
+    """Rows per cell (band, cx, cy) of a coordinate on a world grid of ``radius`` cells.
 
     Every degree of latitude has its own east-west scale, never longer than the
     ground, so neighbours within ``radius`` are always in adjacent cells. With
@@ -186,33 +186,25 @@ def geo_point_cells(lat, lng, radius: float, around: bool = True) -> Column:
     lat, lng = col(lat), col(lng)
     cy = F.floor(lat * (RAD * EARTH_RADIUS_M) / radius)
     if not around:
-        band = F.floor(lat)
-        return F.array(F.struct(band.alias("band"), F.floor(lng * _band_scale(band) / radius).alias("cx"), cy.alias("cy")))
+        out = df.withColumn("band", F.floor(lat))
+        return out.withColumns({"cx": F.floor(lng * _band_scale(F.col("band")) / radius), "cy": cy})
     slack = radius / 111000.0
-    bands = F.array_distinct(F.array(F.floor(lat - slack), F.floor(lat + slack)))
-
-    def block(band: Column) -> Column:
-        cx = F.floor(lng * _band_scale(band) / radius)
-        return F.array(*[F.struct(band.alias("band"), (cx + i).alias("cx"), (cy + j).alias("cy"))
-                         for i in (-1, 0, 1) for j in (-1, 0, 1)])
-
-    return F.flatten(F.transform(bands, block))
+    out = df.withColumn("band", F.explode(F.array_distinct(F.array(F.floor(lat - slack), F.floor(lat + slack)))))
+    out = out.withColumns({"_gx": F.floor(lng * _band_scale(F.col("band")) / radius), "_gy": cy})
+    shift = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    out = out.withColumn("_s", F.explode(shift))
+    return out.withColumns({"cx": F.col("_gx") + F.col("_s.i"), "cy": F.col("_gy") + F.col("_s.j")}).drop("_gx", "_gy", "_s")
 
 
-def geo_segment_cells(lat1, lng1, lat2, lng2, radius: float) -> Column:
-    """World-grid cells a straight segment passes, in every band it touches."""
-    lat1, lng1, lat2, lng2 = col(lat1), col(lng1), col(lat2), col(lng2)
-    scale_y = RAD * EARTH_RADIUS_M
+def explode_geo_segments(df: DataFrame, radius: float, slack_deg: float = 0.0) -> DataFrame:
+    """Rows per world-grid cell a (lat1, lng1)-(lat2, lng2) segment passes.
 
-    def passed(band: Column) -> Column:
-        k = _band_scale(band)
-        inner = ray_cells(lng1 * k, lat1 * scale_y, (lng2 - lng1) * k, (lat2 - lat1) * scale_y, 1.0, radius)
-        return F.transform(inner, lambda c: F.struct(band.alias("band"), c["cx"].alias("cx"), c["cy"].alias("cy")))
-
-    bands = F.sequence(F.floor(F.least(lat1, lat2)), F.floor(F.greatest(lat1, lat2)))
-    return F.flatten(F.transform(bands, passed))
-
-
-def explode_geo(df: DataFrame, cells: Column) -> DataFrame:
-    return df.withColumn("_c", F.explode(cells)).withColumns(
-        {"band": F.col("_c.band"), "cx": F.col("_c.cx"), "cy": F.col("_c.cy")}).drop("_c")
+    Every band the segment touches counts, and with ``slack_deg`` also a band
+    that begins within that many degrees.
+    """
+    south, north = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    out = df.withColumn("band", F.explode(F.sequence(F.floor(south - slack_deg), F.floor(north + slack_deg))))
+    out = out.withColumn("_k", _band_scale(F.col("band")))
+    y, k = RAD * EARTH_RADIUS_M, F.col("_k")
+    return explode_ray(out, F.col("lng1") * k, F.col("lat1") * y, (F.col("lng2") - F.col("lng1")) * k,
+                       (F.col("lat2") - F.col("lat1")) * y, radius).drop("_k")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Words that mark a secret, names that mark a place, and limits.
 SECRET_WORDS = ("password", "token", "secret", "authorization")
@@ -30,7 +31,7 @@ def mask_location(lat, lng) -> tuple[Column, Column]:
     return half_up(lat, 3), half_up(lng, 3)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def sanitize_json(texts: pd.Series) -> pd.Series:
     """Nested details, which have no fixed schema: same rules at every depth."""
     gone = object()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import along, angle_between, bearing_deg, distance_m, haversine_m, segment_fraction
-from ..operators.spatial import explode_geo, geo_point_cells, geo_segment_cells
+from ..operators.spatial import explode_geo_points, explode_geo_segments
 from .keyed import run_batch, run_stream
 from .steps import accept_fix, follow_route, raise_alerts, refresh_rules
 
@@ -31,24 +31,10 @@ def nearby_segments(segments: DataFrame, radius: float = MATCH_M) -> DataFrame:
     Each segment is listed in the cells it passes and their neighbours, so a fix
     needs one equi-join on its own cell and no aggregation.
     """
-    passed = explode_geo(segments.select("route_id", "seg_idx", "lat1", "lng1", "lat2", "lng2"),
-                         geo_segment_cells("lat1", "lng1", "lat2", "lng2", radius))
-    # Cells of a neighbouring band have another width: take the next band's own
-    # cells for segments near the band's edge.
-    slack = radius / 111000.0
-    edge = F.array_distinct(F.array(F.floor(F.least("lat1", "lat2") - slack), F.floor(F.greatest("lat1", "lat2") + slack)))
-    beyond = segments.withColumn("_b", F.explode(edge)).filter(
-        (F.col("_b") < F.floor(F.least("lat1", "lat2"))) | (F.col("_b") > F.floor(F.greatest("lat1", "lat2"))))
-    from ..operators.spatial import _band_scale, ray_cells
-    from ..functions.geo import EARTH_RADIUS_M, RAD
-
-    k, y = _band_scale(F.col("_b")), RAD * EARTH_RADIUS_M
-    cells = ray_cells(F.col("lng1") * k, F.col("lat1") * y, (F.col("lng2") - F.col("lng1")) * k,
-                      (F.col("lat2") - F.col("lat1")) * y, 1.0, radius)
-    beyond = beyond.withColumn("_c", F.explode(cells)).select(
-        "route_id", "seg_idx", "lat1", "lng1", "lat2", "lng2", F.col("_b").alias("band"), "_c.cx", "_c.cy")
+    passed = explode_geo_segments(segments.select("route_id", "seg_idx", "lat1", "lng1", "lat2", "lng2"), radius,
+                                  slack_deg=radius / 111000.0)
     shift = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = passed.unionByName(beyond).withColumn("_s", F.explode(shift)).withColumns(
+    spread = passed.withColumn("_s", F.explode(shift)).withColumns(
         {"cx": F.col("cx") + F.col("_s.i"), "cy": F.col("cy") + F.col("_s.j")}).drop("_s")
     return spread.groupBy("route_id", "band", "cx", "cy").agg(
         F.collect_set(F.struct("seg_idx", "lat1", "lng1", "lat2", "lng2")).alias("segments"))
@@ -59,9 +45,7 @@ def with_near(fixes: DataFrame, lookup: DataFrame, ends: DataFrame, radius: floa
 
     ``fixes`` carries route_id; ``ends``: route_id, end_lat, end_lng, last_seg.
     """
-    cell = geo_point_cells("lat", "lng", radius, around=False)[0]
-    rows = fixes.withColumn("_c", cell).withColumns(
-        {"band": F.col("_c.band"), "cx": F.col("_c.cx"), "cy": F.col("_c.cy")}).drop("_c")
+    rows = explode_geo_points(fixes, "lat", "lng", radius, around=False)
     rows = rows.join(lookup, ["route_id", "band", "cx", "cy"], "left").join(ends, "route_id", "left")
 
     def foot(s: Column) -> Column:
@@ -102,11 +86,10 @@ def next_maneuver(fixes: DataFrame, maneuvers: DataFrame, reach_m: float = 2000.
     route_id, v_idx, lat, lng, type, modifier. Passed ones (more than two
     vertices back) and those behind (over 120 degrees, unless under 60 m) drop.
     """
-    near = explode_geo(fixes.select("fix_id", "route_id", "lat", "lng", "heading", "seg_idx"),
-                       geo_point_cells("lat", "lng", reach_m))
-    at = explode_geo(maneuvers.select("route_id", F.col("v_idx").alias("m_idx"), F.col("lat").alias("m_lat"),
-                                      F.col("lng").alias("m_lng"), "type", "modifier"),
-                     geo_point_cells("m_lat", "m_lng", reach_m, around=False))
+    near = explode_geo_points(fixes.select("fix_id", "route_id", "lat", "lng", "heading", "seg_idx"), "lat", "lng", reach_m)
+    at = explode_geo_points(maneuvers.select("route_id", F.col("v_idx").alias("m_idx"), F.col("lat").alias("m_lat"),
+                                             F.col("lng").alias("m_lng"), "type", "modifier"),
+                            "m_lat", "m_lng", reach_m, around=False)
     pairs = near.join(at, ["route_id", "band", "cx", "cy"]).filter(F.col("m_idx") >= F.coalesce("seg_idx", F.lit(-1)) - 2)
     pairs = pairs.withColumn("maneuver_m", haversine_m("lat", "lng", "m_lat", "m_lng")).filter(F.col("maneuver_m") < reach_m)
     side = angle_between(bearing_deg("lat", "lng", "m_lat", "m_lng"), "heading")
