@@ -119,9 +119,14 @@ def tile_bounds(tx, ty, grid=(41.0, -74.0, math.cos(42.0 * RAD)), size_m: float
     return south, west, north, east
 
 
-def segment_fraction(lat, lng, lat1, lng1, lat2, lng2) -> Column:
+def lng_scale(lat) -> Column:
+    """Metres per degree of longitude at a latitude, never quite zero."""
+    return F.greatest(F.lit(0.01), F.cos(rad(lat))) * METERS_PER_DEGREE
+
+
+def segment_fraction(lat, lng, lat1, lng1, lat2, lng2, scale=None) -> Column:
     """Where along a short segment the foot of a point lies, clamped to 0..1."""
-    scale = F.greatest(F.lit(0.01), F.cos(rad(lat))) * METERS_PER_DEGREE
+    scale = lng_scale(lat) if scale is None else col(scale)
     ax, ay = (col(lng1) - col(lng)) * scale, (col(lat1) - col(lat)) * METERS_PER_DEGREE
     dx, dy = (col(lng2) - col(lng1)) * scale, (col(lat2) - col(lat1)) * METERS_PER_DEGREE
     length_sq = dx * dx + dy * dy

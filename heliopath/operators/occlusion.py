@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import RAD, angle_between, planar_segment_m, project, rad, ray_polygon_m
-from .spatial import RAY_CELL_M, cells_around, cells_of_box, explode_cells, explode_ray, nearest_within
+from .spatial import RAY_CELL_M, cells_around, cells_of_box, explode_cells, explode_ray, nearest_within, settled, spread
 
 RAY_M = 4500.0
 PROBES_M = (250.0, 600.0, 1200.0, 2400.0)
@@ -55,14 +55,18 @@ def ray_hits(points: DataFrame, buildings: DataFrame, reach_m: float = RAY_M, by
     by = by or []
     b_cols = ["polygon", *(building_columns or [])]
     p_cols = ["x", "y", "dir_x", "dir_y", *(point_columns or [])]
-    p = explode_ray(points.select("point_id", *by, *p_cols), "x", "y", F.col("dir_x") * reach_m, F.col("dir_y") * reach_m, cell_m)
+    p = explode_ray(spread(points.select("point_id", *by, *p_cols), "point_id"), "x", "y", F.col("dir_x") * reach_m, F.col("dir_y") * reach_m, cell_m)
     b = explode_cells(buildings.select("building_id", *by, "min_x", "max_x", "min_y", "max_y", *b_cols),
                       cells_of_box("min_x", "max_x", "min_y", "max_y", cell_m))
     ahead = (F.when(F.col("dir_x") > 0, F.col("max_x") >= F.col("x")).otherwise(F.col("min_x") <= F.col("x"))
              & F.when(F.col("dir_y") > 0, F.col("max_y") >= F.col("y")).otherwise(F.col("min_y") <= F.col("y")))
-    pairs = p.join(b, [*by, "cx", "cy"]).filter(ahead).drop("cx", "cy")
+    # The ray passes the box's centre no farther than half the box's diagonal.
+    across = F.abs(F.col("dir_x") * ((F.col("min_y") + F.col("max_y")) / 2 - F.col("y"))
+                   - F.col("dir_y") * ((F.col("min_x") + F.col("max_x")) / 2 - F.col("x")))
+    close = across <= F.hypot(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) / 2 + 1e-6
+    pairs = p.join(b, [*by, "cx", "cy"]).filter(ahead & close).drop("cx", "cy")
     hit = ray_polygon_m("x", "y", "dir_x", "dir_y", "polygon", reach_m)
-    hits = pairs.withColumn("hit_m", hit).filter(F.col("hit_m").isNotNull()).drop("polygon")
+    hits = settled(pairs, "hit_m", hit).filter(F.col("hit_m").isNotNull()).drop("polygon")
     return hits.dropDuplicates(["point_id", "building_id"]) if distinct else hits
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import angle_between, haversine_m, point_segment_m, way_bearing
+from ..functions.geo import along, angle_between, haversine_m, lng_scale, segment_fraction, way_bearing
 from ..functions.keys import country_cell
 from ..functions.places import address_score, looks_like_street, normalize_country
 from ..session import cut_lineage
-from .spatial import explode_geo_points, explode_geo_segments
+from .spatial import explode_geo_points, explode_geo_segments, settled, spread
 
 ROAD_M, STOP_M, BOOTH_M = 45.0, 45.0, 90.0
 NAME_BONUS = 80.0
@@ -35,11 +35,14 @@ def best_road(fixes: DataFrame, roads: DataFrame, within_m: float = ROAD_M) -> D
     parts = parts.select("way_id", *tags, "_bearing", a["lat"].alias("lat1"), a["lng"].alias("lng1"),
                          b["lat"].alias("lat2"), b["lng"].alias("lng2"))
     parts = explode_geo_segments(parts, within_m)
-    near = explode_geo_points(fixes.select("fix_id", "lat", "lng", "heading", "road_name"), "lat", "lng", within_m)
-    pairs = near.join(parts, ["band", "cx", "cy"])
-    pairs = pairs.withColumn("_m", point_segment_m("lat", "lng", "lat1", "lng1", "lat2", "lng2")).filter(
+    ready = spread(fixes.select("fix_id", "lat", "lng", "heading", _plain(F.col("road_name")).alias("_want"),
+                                lng_scale("lat").alias("_kx")), "fix_id")
+    near = explode_geo_points(ready, "lat", "lng", within_m)
+    pairs = settled(near.join(parts, ["band", "cx", "cy"]), "_t",
+                    segment_fraction("lat", "lng", "lat1", "lng1", "lat2", "lng2", "_kx"))
+    pairs = settled(pairs, "_m", haversine_m("lat", "lng", along("lat1", "lat2", "_t"), along("lng1", "lng2", "_t"))).filter(
         F.col("_m") <= within_m)
-    want, have = _plain(F.col("road_name")), _plain(F.col("name"))
+    want, have = F.col("_want"), _plain(F.col("name"))
     named = (want != "") & (have != "") & ((F.instr(want, have) > 0) | (F.instr(have, want) > 0))
     score = F.col("_m") + F.coalesce(angle_between("_bearing", "heading") * 2.0, F.lit(0.0)) - F.when(
         named, NAME_BONUS).otherwise(0.0)
@@ -51,7 +54,7 @@ def best_road(fixes: DataFrame, roads: DataFrame, within_m: float = ROAD_M) -> D
 
 def near_points(fixes: DataFrame, signs: DataFrame, within_m: float, out: str) -> DataFrame:
     """fix_id with a flag that some sign lies within ``within_m``."""
-    near = explode_geo_points(fixes.select("fix_id", "lat", "lng"), "lat", "lng", within_m)
+    near = explode_geo_points(spread(fixes.select("fix_id", "lat", "lng"), "fix_id"), "lat", "lng", within_m)
     at = explode_geo_points(signs.select(F.col("lat").alias("_lat"), F.col("lng").alias("_lng")), "_lat", "_lng",
                             within_m, around=False)
     hit = near.join(at, ["band", "cx", "cy"]).filter(haversine_m("lat", "lng", "_lat", "_lng") <= within_m)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, RAD, along, col, haversine_m, segment_fraction
+from ..functions.geo import EARTH_RADIUS_M, RAD, along, col, haversine_m, lng_scale, segment_fraction
 from ..session import cut_lineage
 
 RAY_CELL_M = 250.0
@@ -56,6 +56,25 @@ def explode_cells(df: DataFrame, cells: Column) -> DataFrame:
         "cy", F.col("_c.cy")).drop("_c")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Distribute rows by key before each is expanded into several.
+
+    The rows are still few and narrow here, the later aggregate on the key needs
+    this distribution anyway, and an input of few splits gets its tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column once, so that a later filter does not repeat it.
+
+    Filters move below plain projections and take the expression with them; a
+    generator of one element stops that.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _best_within(points: DataFrame, samples: DataFrame, radius: float, point_id: str, keep: list[str],
                  sample_id: str, by: list[str]) -> DataFrame:
     near = explode_cells(points.select(point_id, *by, F.col("x").alias("_x"), F.col("y").alias("_y")),
@@ -121,13 +140,14 @@ def _plane(lat, lng, cos_min) -> tuple[Column, Column]:
 def _segments_near(points: DataFrame, segments: DataFrame, radius: float, point_id: str,
                    score: Column | None, carry: list[str]) -> DataFrame:
     px, py = _plane("lat", "lng", F.col("_cos"))
-    near = explode_cells(points.withColumn("_px", px).withColumn("_py", py), cells_around("_px", "_py", radius))
+    ready = spread(points, point_id).withColumns({"_px": px, "_py": py, "_kx": lng_scale("lat")})
+    near = explode_cells(ready, cells_around("_px", "_py", radius))
     ax, ay = _plane("lat1", "lng1", F.col("_cos"))
     bx, by = _plane("lat2", "lng2", F.col("_cos"))
     s = segments.select("route_id", "seg_idx", "lat1", "lng1", "lat2", "lng2", "_cos", *carry)
     s = explode_ray(s, ax, ay, bx - ax, by - ay, radius)
     pairs = near.join(s.drop("_cos"), ["route_id", "cx", "cy"])
-    pairs = pairs.withColumn("t", segment_fraction("lat", "lng", "lat1", "lng1", "lat2", "lng2"))
+    pairs = settled(pairs, "t", segment_fraction("lat", "lng", "lat1", "lng1", "lat2", "lng2", "_kx"))
     pairs = pairs.withColumn("snap_lat", along("lat1", "lat2", "t")).withColumn("snap_lng", along("lng1", "lng2", "t"))
     pairs = pairs.withColumn("distance", haversine_m("lat", "lng", "snap_lat", "snap_lng")).filter(
         F.col("distance") <= radius)
