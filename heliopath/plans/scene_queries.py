@@ -258,7 +258,11 @@ def j19(spark, sf):
     return tiles.region_runs(view(spark, sf, "fx_route_vertices"), rg)
 
 
-@query("W9_route_pieces")
+@query("W9_route_pieces", f"""{cte('fx_route_vertices').replace('WITH', 'WITH RECURSIVE', 1)}, s AS MATERIALIZED ({S.segments()}),
+st AS (SELECT route_id, CAST(-1 AS BIGINT) n, CAST(0 AS BIGINT) piece, 0.0::DOUBLE run, CAST(0 AS BIGINT) np FROM (SELECT DISTINCT route_id FROM s)
+ UNION ALL SELECT s.route_id, s.seg_idx, np, CASE WHEN run+seg_m>=300 THEN 0 ELSE run+seg_m END, CASE WHEN run+seg_m>=300 THEN np+1 ELSE np END
+ FROM st JOIN s ON s.route_id=st.route_id AND s.seg_idx=st.n+1)
+SELECT route_id, n AS seg_idx, piece FROM st WHERE n>=0""")
 def w9(spark, sf):
     v = view(spark, sf, "fx_route_vertices")
     return tiles.split_by_length(v, paths.route_lengths(paths.route_segments(v)), chunk_m=300.0)
