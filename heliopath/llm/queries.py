@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import table, work_dir
 
@@ -38,3 +39,51 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     parts = write_sequences(docs, root, vocabulary("byte_bpe_50k.json"), end_id=2)
     return read_digests(spark, parts, root)
+
+
+@query
+def op9_covering_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covering import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op6_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source IS NULL AS missing, coalesce(source, '') AS name, md5(doc_id::VARCHAR) AS key,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT missing, name, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY missing, name) - 1) % 3 AS weight
+  FROM d GROUP BY missing, name),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, missing, name) AS place FROM s),
+l AS (
+  SELECT a.*, (SELECT sum(source_size) FROM o)::DOUBLE
+              - coalesce((SELECT sum(3 * source_size) FROM o b WHERE b.place < a.place), 0)::DOUBLE AS rest,
+         (SELECT sum(weight) FROM o b WHERE b.place >= a.place)::DOUBLE AS weight_left
+  FROM o a),
+v AS (SELECT rest / weight_left AS level FROM l WHERE 3 * source_size / weight > rest / weight_left ORDER BY place LIMIT 1),
+t AS (
+  SELECT missing, name, source_size,
+         coalesce(least((3 * source_size)::DOUBLE, weight * (SELECT level FROM v)), 0.0) AS target FROM l),
+r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+         coalesce(sum(d.size) OVER (PARTITION BY d.missing, d.name ORDER BY d.key
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t USING (missing, name))
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size = 0 THEN 0 ELSE
+          (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END)::BIGINT AS taken
+FROM r
+"""

@@ -89,6 +89,6 @@ def parts_of(batch, most_bytes: int = 8_000_000):
         at = to
 
 
-def words_chars(column):
+def word_count(column):
     """Column: number of words of a text, null counting as empty."""
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
