@@ -87,3 +87,26 @@ SELECT doc_id, size, source_size, target,
           (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END)::BIGINT AS taken
 FROM r
 """
+
+
+@query
+def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .risk_rules import judge
+
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept", "stratum")
+
+
+@query
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query
+def op4_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spaced_seeds import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
