@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,28 @@ from pyspark.sql import functions as F
 
 from .tables import Index, parts_of, starts_of, texts_of
 
-STORE = 300_000  # distinct chunks a task keeps
+STORE = 900_000  # distinct chunks a worker keeps; beyond it, those seen once or rarely make room
 ROWS = 128  # sequences of a record batch
 
 # A pre-token of the byte-level rule never holds white space behind other characters, so a text may be cut before each
 # run of ASCII white space. Texts with any other white space are encoded in one call.
 CHUNKS = re.compile(rb"\s*\S+|\s+").findall
-OTHER_SPACE = re.compile(
-    rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80").search
+ODD_BLANK = re.compile(rb" (?:[ \t-\r\x1c-\x1f\xc2\xe1\xe2\xe3]|\Z)").search
+OTHER_SPACE = [*[bytes([c]) for c in range(0x1c, 0x20)], *[c.encode() for c in "\x85\xa0\u1680"], b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80"]
+
+
+def odd_space(data: bytes) -> bool:
+    """Whether there may be white space beyond ASCII's."""
+    return any(mark in data for mark in OTHER_SPACE)
+
+
+# Most chunks are one pre-token of Latin letters and perhaps one of ASCII marks.
+LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+"
+SIMPLE = re.compile(rb"( ?" + LETTERS + rb")([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+# Fixed values of the byte-level rule: the printable character that stands for each byte.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+CHARACTER = {b: chr(b) for b in PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - {*PRINTED}))}
 
 
 @lru_cache(maxsize=2)
@@ -47,40 +62,99 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int):
+    """One encoder per worker process; what it has learned serves all its tasks."""
+    return ChunkEncoder(path, end_id)
+
+
 class ChunkEncoder:
     """Ids of texts; distinct chunks are encoded once by the library and kept for a while."""
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer, self.end_id = library(path), end_id
+        self.model = self.tokenizer.model
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.reset()
-
-    def reset(self):
-        self.index, self.ids, self.at = Index(), np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.index, self.ids, self.at, self.seen = Index(), np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    def _make_room(self):
+        """Keeps the chunks seen most often, half the store at most."""
+        least = max(2, int(np.partition(self.seen, -STORE // 2)[-STORE // 2]) + 1)
+        keep = np.flatnonzero(self.seen >= least)
+        names, sizes = list(self.index), np.diff(self.at)[keep]
+        starts = starts_of(sizes)
+        self.ids = self.ids[np.repeat(self.at[keep] - starts[:-1], sizes) + np.arange(starts[-1])]
+        self.index, self.at, self.seen = Index((names[k], n) for n, k in enumerate(keep)), starts, self.seen[keep] // 2
 
     def _learn(self):
-        fresh = list(self.index)[len(self.at) - 1:]
-        if fresh:
-            found = self._encode(fresh)
-            flat = np.fromiter((i for ids in found for i in ids), self.dtype)
-            self.ids = np.concatenate([self.ids, flat])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(ids) for ids in found])])
-
-    def of(self, datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, each text's followed by the end id, and the number of each text."""
+        """Encodes the chunks not yet known. Words that are already known without their marks are copied."""
+        known = len(self.at) - 1
+        fresh = list(self.index)[known:]
+        if not fresh:
+            return
+        found, rest, marks = [], [], {}
+        get, at, ids, tokenize = self.index.get, self.at.tolist(), self.ids, self.model.tokenize
+        spelled = lambda piece: [t.id for t in tokenize(piece.decode("latin-1").translate(CHARACTER))]
+        for chunk in fresh:
+            match = SIMPLE(chunk)
+            if not match:
+                rest.append(len(found))
+                found.append(())
+                continue
+            word, tail = match.groups()
+            n = get(word, known) if tail else known
+            own = ids[at[n]:at[n + 1]].tolist() if n < known else spelled(word)
+            if tail:
+                if tail not in marks:
+                    marks[tail] = spelled(tail)
+                own += marks[tail]
+            found.append(own)
+        texts = [fresh[i].decode() for i in rest]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            found[i] = e.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum()))])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+
+    def _chunks(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the chunks of all texts in a row, and how many each text has.
+
+        Where every blank stands before a character that is no white space, the
+        text is cut at blanks; Arrow finds the distinct pieces of the batch, and
+        only those are looked up.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        datas = texts_of(column)
+        plain = np.fromiter((not (ODD_BLANK(d) or odd_space(d)) for d in datas), bool, len(datas))
+        pieces = pc.split_pattern(pa.array([d if p else None for d, p in zip(datas, plain)], pa.binary()), b" ")
+        coded = pieces.flatten().dictionary_encode()
+        later = self.index.numbers([b" " + p for p in coded.dictionary.to_pylist()])
+        flat = later[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        counts = np.where(plain, pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(), 0)
+        ends = np.cumsum(counts)
+        flat[(ends - counts)[plain]] = self.index.numbers([d.partition(b" ")[0] for d, p in zip(datas, plain) if p])
+        out = np.split(flat, ends[:-1])
+        for i in np.flatnonzero(~plain):
+            out[i] = self.index.numbers([datas[i]] if odd_space(datas[i]) else CHUNKS(datas[i]))
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+
+    def of(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column of texts in a row, each text's followed by the end id, and the number of each text."""
         if len(self.index) > STORE:
-            self.reset()
-        chunked = [[d] if OTHER_SPACE(d) else CHUNKS(d) for d in datas]
-        numbers = [self.index.numbers(c) for c in chunked]
+            self._make_room()
+        if not len(column):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        chunk, counts = self._chunks(column)
         self._learn()
-        chunk = np.concatenate([np.zeros(0, np.int64), *numbers])
+        times = np.bincount(chunk, minlength=len(self.at) - 1)
+        times[:len(self.seen)] += self.seen
+        self.seen = times
         sizes = self.at[chunk + 1] - self.at[chunk]
         starts = starts_of(sizes)
         flat = self.ids[np.repeat(self.at[chunk] - starts[:-1], sizes) + np.arange(starts[-1])]
-        doc_ends = starts[starts_of(map(len, numbers))[1:]]
+        doc_ends = starts[starts_of(counts)[1:]]
         return np.insert(flat, doc_ends, self.end_id), np.diff(doc_ends, prepend=0) + 1
 
 
@@ -139,7 +213,7 @@ class PartWriter:
 
 
 def write_sequences(docs: DataFrame, root: str, path: str, end_id: int, length: int = 2048,
-                    id_col: str = "doc_id", text_col: str = "text", part_rows: int = 20_000) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", part_rows: int = 10_000) -> DataFrame:
     """Writes all parts under ``root``; one row per part: (part, total ids, number of documents)."""
     import pyarrow as pa
     from pyspark import TaskContext
@@ -152,12 +226,12 @@ def write_sequences(docs: DataFrame, root: str, path: str, end_id: int, length:
 
     def write(batches):
         context = TaskContext.get()
-        encoder, writer, n = ChunkEncoder(path, end_id), None, 0
+        encoder, writer, n = encoder_of(path, end_id), None, 0
         for batch in batches:
             for piece in parts_of(batch, 4_000_000):
                 if writer is None:
                     writer = PartWriter(root, context.partitionId(), f"{context.taskAttemptId()}", length, encoder.dtype)
-                ids, counts = encoder.of(texts_of(piece.column(1)))
+                ids, counts = encoder.of(piece.column(1))
                 writer.add(piece.column(0), ids, counts)
                 n += piece.num_rows
         if writer:
