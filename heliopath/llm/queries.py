@@ -110,3 +110,10 @@ def op4_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spaced_seeds import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_trees import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))

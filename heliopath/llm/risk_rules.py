@@ -1,8 +1,8 @@
 """Quality rules whose cutoffs limit false rejection, per stratum, with a proof.
 
-Signals of a text become a few badness measures. Labelled rows are halved by
-id. One half's good rows give, per stratum, ever sharper cutoffs: the upper
-quantiles of each measure at the levels ``TAILS``. The other half tests them from mild
+Signals of a text become a few badness measures. Labelled rows are split by
+id. The good rows of one third give, per stratum, ever sharper cutoffs: the upper
+quantiles of each measure at the levels ``TAILS``. The others test them from mild
 to sharp: a level is accepted while the exact binomial test says, at
 confidence 1 - delta / strata (Bonferroni over the strata; levels of a stratum
 are tested in fixed order, which costs nothing), that no more than ``alpha``
@@ -116,7 +116,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
     names = measures()
     rows = (measured.filter(~F.col("base_failed")).join(good, "doc_id").select(
         F.coalesce("stratum", F.lit("")).alias("stratum"), F.col("stratum").isNull().alias("no_stratum"),
-        (F.crc32(F.col("doc_id").cast("string")) % 2 == 0).alias("fitting"), *[m.alias(n) for n, m in names.items()]))
+        (F.crc32(F.col("doc_id").cast("string")) % 3 == 0).alias("fitting"), *[m.alias(n) for n, m in names.items()]))
     quantiles = [F.percentile_approx(n, [1 - t for t in TAILS], 20_000).alias(f"{n}_cuts") for n in names]
     key = ["stratum", "no_stratum"]
     fitted = rows.filter("fitting").groupBy(*key).agg(*quantiles)
