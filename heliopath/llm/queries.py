@@ -117,3 +117,18 @@ def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .context_trees import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_findings
+
+    found = license_findings(table(spark, sf_dir, "documents"))
+    return found.withColumns({"missing": F.array_join("missing", " "), "added": F.array_join("added", " ")})
+
+
+@query
+def op3_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
