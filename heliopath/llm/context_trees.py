@@ -37,6 +37,7 @@ from .tables import Index, parts_of, starts_of, stored, sums_between, tasks_for,
 END = b"\n"
 END_WORD = b"\n"  # no word contains it
 BLOCK_BYTES = 24_000_000
+PIECE_BYTES = 1_000_000  # worked on at a time; a gram takes about 60 bytes while it is
 HALF = math.log(0.5)
 
 
@@ -124,6 +125,9 @@ class Block:
         other = np.unique(gram[~seen])
         self.keys += [distinct, other]
         self.key_counts += [times, np.zeros(len(other), np.int64)]
+        if len(self.keys) > 12:
+            key, count = merged(self.keys, self.key_counts)
+            self.keys, self.key_counts = [key], [count]
         sink = pa.BufferOutputStream()
         rows = pa.record_batch([ids, pa.array(~train), pa.array(streams, pa.binary())], ["doc_id", "held_out", "stream"])
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -170,7 +174,7 @@ class Trees:
             # At each depth the oldest byte of the context goes.
             key = key & np.uint64((1 << 8 * (d + 1)) - 1)
             distinct, inverse = np.unique(key, return_inverse=True)
-            total = lambda values: np.bincount(inverse, values, len(distinct))  # noqa: E731, B023
+            total = lambda values: np.bincount(inverse, values, len(distinct)).astype(float)  # noqa: E731, B023
             zeros, ones = total(zeros), total(ones)
             own = log_kt(zeros, ones)
             both = own if below is None else np.logaddexp(HALF + own, HALF + total(below))
@@ -193,7 +197,7 @@ class Trees:
         key, below = self.top
         _, zeros, ones, _ = self.levels[2]
         distinct, inverse = np.unique(key & np.uint64(0xFFFF), return_inverse=True)
-        return distinct, *[np.bincount(inverse, v, len(distinct)) for v in (zeros, ones, below)]
+        return distinct, *[np.bincount(inverse, v, len(distinct)).astype(float) for v in (zeros, ones, below)]
 
     def log10(self, grams: np.ndarray, shallow) -> np.ndarray:
         """Log10 probability of every gram's symbol in its context; ``shallow`` has depths one and zero."""
@@ -242,7 +246,7 @@ def _gathered(docs: DataFrame, depth: int, parts: int, id_col: str, text_col: st
     def gather(batches):
         first, n, block = TaskContext.get().partitionId() << 24, 0, Block(depth)
         for batch in batches:
-            for piece in parts_of(batch, 2_000_000):
+            for piece in parts_of(batch, PIECE_BYTES):
                 block.add(piece.column(0), texts_of(piece.column(1)), piece.column(2).to_numpy(zero_copy_only=False).astype(bool))
                 if block.bytes > BLOCK_BYTES:
                     yield block.rows(first + n, parts)

@@ -24,6 +24,7 @@ import random
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .tables import parts_of, stored, texts_of
@@ -54,19 +55,21 @@ def fingerprint(data: bytes, width: int) -> int:
     return int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long."""
+def fingerprints(docs: DataFrame, width: int, carry: list, text_col: str = "text") -> DataFrame:
+    """The carried columns of every row and its fingerprint ``fp`` as a signed long."""
     import pyarrow as pa
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(*carry, F.col(text_col).alias("_text"))
+    at = len(rows.columns) - 1
 
     def hashed(batches):
         for batch in batches:
-            for part in parts_of(batch):
-                fps = np.fromiter((fingerprint(d, width) for d in texts_of(part.column(1))), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            for part in parts_of(batch, text=at):
+                fps = np.fromiter((fingerprint(d, width) for d in texts_of(part.column(at))), np.uint64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(fps.view(np.int64))],
+                                                 [*part.schema.names[:at], "fp"])
 
-    return rows.mapInArrow(hashed, "doc_id long, fp long")
+    return rows.mapInArrow(hashed, T.StructType([*rows.drop("_text").schema, T.StructField("fp", T.LongType())]))
 
 
 def covering_masks(radius: int, family: int) -> list[int]:
@@ -205,10 +208,28 @@ def near_links(fps: DataFrame, radius: int = 3, most: int = 4096) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least id reachable over links."""
-    rows = stored(fingerprints(docs, width, id_col, text_col))
+    rows = stored(fingerprints(docs, width, [F.col(id_col).cast("long").alias("doc_id")], text_col))
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_links(distinct, radius)).select(F.col("node").alias("fp"), "root")
     labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(labelled.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns unchanged: the least id's, null ids last, of equal ids one.
+
+    The row to keep is found per fingerprint and then per component on ids and
+    row numbers; texts are only joined with the numbers of the rows that stay.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    held = stored(numbered)
+    rows = stored(fingerprints(held, width, ["_row", F.col(id_col).cast("long").alias("doc_id")], text_col))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row"))
+    distinct = stored(rows.groupBy("fp").agg(first.alias("first")))
+    roots = components(near_links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    kept = (distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+            .agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")))
+    return held.join(kept, "_row", "left_semi").select(*docs.columns)

@@ -53,7 +53,7 @@ TEMPLATES = {
 }
 CUE = re.compile(r"licen[cs]|copyright|redistribut|warrant|permission is|free software|public domain|rights reserved", re.I).search
 CUE_STEMS = ("licen", "copyright", "redistribut", "warrant", "permission is", "free software", "public domain", "rights reserved")
-SENTENCES = re.compile(r"[^\n]*?[.!?:](?=\s|$)|[^\n]+").finditer
+SENTENCES = re.compile(r"[^\n]*?[.!?:](?=\s+[^\s\d]|\s*$)|[^\n]+").finditer
 WORDS = re.compile(r"\w+(?:[.\-+/]\w+)*").findall
 PIECE, GAP, BEST = 2_000, 1, 3
 
@@ -85,7 +85,6 @@ def candidate_blocks(text: str) -> list[tuple[int, str]]:
             since = 0
         else:
             since += 1
-    # A block of several sentences is tried whole and sentence by sentence.
     return [(b, text[b:e]) for b, e in blocks]
 
 
@@ -133,21 +132,14 @@ class Scanner:
         return None
 
     def findings(self, block: str) -> list[tuple]:
-        """(offset, length, name, rank, saved, equal, missing, added) of the block, or else of its sentences."""
+        """(offset, length, name, rank, saved, equal, missing, added) of the block or of its sentences, whichever explains more words."""
         if block not in self.seen:
             if len(self.seen) > 20_000:
                 self.seen.clear()
-            parts = list(sentences(block))
-            spans = [(0, len(block)), *(parts if len(parts) > 1 else [])]
-            out = []
-            for begin, end in spans:
-                words = self.normal(block[begin:end])
-                found = self._confirm(words) if words and (begin == 0 and end == len(block) or CUE(block, begin, end)) else None
-                if found:
-                    out.append((begin, end - begin, *found))
-                    if end - begin == len(block):
-                        break
-            self.seen[block] = out
+            tried = lambda spans: [(a, b - a, *found) for a, b in spans if (found := self._confirm(self.normal(block[a:b])))]
+            whole, single = tried([(0, len(block))]), tried(s for s in sentences(block) if CUE(block, *s))
+            words = lambda findings: sum(f[5] for f in findings)
+            self.seen[block] = whole if words(whole) >= words(single) else single
         return self.seen[block]
 
 

@@ -119,7 +119,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
         (F.crc32(F.col("doc_id").cast("string")) % 3 == 0).alias("fitting"), *[m.alias(n) for n, m in names.items()]))
     quantiles = [F.percentile_approx(n, [1 - t for t in TAILS], 20_000).alias(f"{n}_cuts") for n in names]
     key = ["stratum", "no_stratum"]
-    fitted = rows.filter("fitting").groupBy(*key).agg(*quantiles)
+    # One row per stratum, written: its size is known when the join with the much larger and skewed rows is planned.
+    fitted = stored(rows.filter("fitting").groupBy(*key).agg(*quantiles))
     over = lambda level: F.greatest(*[(F.col(n) > F.col(f"{n}_cuts")[level]).cast("long") for n in names])
     tested = (rows.filter(~F.col("fitting")).join(fitted, key).groupBy(*key)
               .agg(F.count("*").alias("trials"), F.array(*[F.sum(over(i)) for i in range(len(TAILS))]).alias("failures"),

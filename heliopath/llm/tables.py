@@ -75,11 +75,11 @@ def sums_between(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def parts_of(batch, most_bytes: int = 8_000_000):
-    """Slices of an Arrow batch of (id, text, ...) with few enough text bytes."""
+def parts_of(batch, most_bytes: int = 8_000_000, text: int = 1):
+    """Slices of an Arrow batch with few enough bytes in its text column, the second if not told."""
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
