@@ -38,6 +38,10 @@ def route_request_key(start, end, mode, toll_free, departure_ms=None) -> Column:
                        F.when(col(toll_free), "toll-free").otherwise("standard"), time_part)
 
 
+# Fixed value: how many points of a route its identity holds.
+IDENTITY_SAMPLES = 12
+
+
 def geometry_signature(samples) -> Column:
     """Text of sampled (lat, lng) points with 4 decimals, lng first."""
     return F.array_join(F.transform(col(samples), lambda p: F.concat_ws(",", fixed(p["lng"], 4), fixed(p["lat"], 4))), ";")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import RAD, angle_between, planar_segment_m, project, rad, ray_polygon_m
-from .spatial import RAY_CELL_M, cells_around, cells_of_box, explode_cells, explode_ray, nearest_within, settled, spread
+from .spatial import RAY_CELL_M, cells_around, cells_of_box, explode_cells, explode_ray, nearest_any, nearest_within, settled, spread
 
 RAY_M = 4500.0
 PROBES_M = (250.0, 600.0, 1200.0, 2400.0)
@@ -198,11 +198,11 @@ def planar_occlusion(points: DataFrame, buildings: DataFrame, samples: DataFrame
                      terrain_error_m: float = DEFAULT_TERRAIN_ERROR_M, road: DataFrame | None = None) -> DataFrame:
     """Verdict for points of one plane: point_id, x, y, sun_azimuth, sun_altitude.
 
-    ``road`` gives (point_id, road_z); otherwise the nearest sample within 180 m.
+    ``road`` gives (point_id, road_z); otherwise the nearest sample at any distance.
     Every point is its own terrain profile, used only when all probes are known.
     """
     if road is None:
-        road = nearest_within(points, samples, 180.0, "point_id", keep=["elevation"]).select(
+        road = nearest_any(points, samples, "point_id", keep=["elevation"]).select(
             "point_id", F.col("elevation").alias("road_z"))
     p = with_ray(points).join(road, "point_id", "left")
     hits = ray_hits(p, buildings, building_columns=["ground", "ground_error_m", "height_lower", "height_upper",

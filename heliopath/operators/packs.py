@@ -18,100 +18,121 @@ SEED_TILES = 8
 PACKED = "tx long, ty long, zip_bytes long, dense boolean, pack_no int, seed_x long, seed_y long"
 
 
-def _bounds(group):
-    xs, ys = [t[0] for t in group], [t[1] for t in group]
-    return min(xs), min(ys), max(xs), max(ys)
+class SeedGrid:
+    """The tiles of one 8 x 8 seed square, in the order of a quadtree.
 
+    Bit by bit, x before y, the two coordinates are woven into a code of 0 to 63. Every aligned
+    square of side 4, 2 or 1 is then a range of codes, and its bytes are a
+    difference of two prefix sums.
+    """
 
-def _bytes(group) -> int:
-    return END_RECORD_BYTES + sum(t[2] for t in group)
-
+    def __init__(self, x, y, size):
+        import numpy as np
 
-def _gap(a, b) -> float:
-    a, b = _bounds(a), _bounds(b)
-    dx = max(0, a[0] - b[2] - 1, b[0] - a[2] - 1)
-    dy = max(0, a[1] - b[3] - 1, b[1] - a[3] - 1)
-    return (dx * dx + dy * dy) ** 0.5
+        bits = [(x >> k & 1) << 2 * k + 1 | (y >> k & 1) << 2 * k for k in range(3)]
+        code = bits[0] | bits[1] | bits[2]
+        self.order = np.argsort(code)
+        self.code, self.x, self.y, self.size = (v[self.order] for v in (code, x, y, size))
+        self.sums = np.concatenate([[0], np.cumsum(self.size)])
 
+    def bytes(self, a: int, b: int) -> int:
+        return END_RECORD_BYTES + int(self.sums[b] - self.sums[a])
 
-def _blocks(tiles, width):
-    found: dict = {}
-    for t in sorted(tiles):
-        found.setdefault((t[0] // width, t[1] // width), []).append(t)
-    return sorted(found.values(), key=_bounds)
+    def quarters(self, a: int, b: int, codes: int):
+        """The parts of the tiles a to b by the ``codes`` a square covers."""
+        import numpy as np
 
+        cuts = a + np.flatnonzero(np.diff(self.code[a:b] // codes)) + 1
+        return zip([a, *cuts.tolist()], [*cuts.tolist(), b])
 
-def _halves(tiles):
-    x0, y0, x1, y1 = _bounds(tiles)
-    axis = 0 if x1 - x0 >= y1 - y0 else 1
-    ordered = sorted(tiles, key=lambda t: (t[axis], t[1 - axis]))
-    middle = -(-len(ordered) // 2)
-    return [part for part in (ordered[:middle], ordered[middle:]) if part]
+    def fitting(self, a: int, b: int, codes: int, limit: int):
+        """Ranges of tiles within the limit: squares of a quarter the area, at last halves of a 2 x 2 square."""
+        if self.bytes(a, b) <= limit or b - a == 1:
+            yield a, b
+        elif codes > 4:
+            for c, d in self.quarters(a, b, codes // 4):
+                yield from self.fitting(c, d, codes // 4, limit)
+        else:
+            middle = (a + b + 1) // 2
+            yield from self.fitting(a, middle, codes, limit)
+            yield from self.fitting(middle, b, codes, limit)
 
 
-def _within_limit(tiles, limit):
-    """Split by halving widths, then at the median, until each part fits."""
-    if _bytes(tiles) <= limit or len(tiles) == 1:
-        return [tiles]
-    x0, y0, x1, y1 = _bounds(tiles)
-    span = max(x1 - x0, y1 - y0) + 1
-    parts = _blocks(tiles, 4 if span > 4 else 2) if span > 2 else _halves(tiles)
-    if len(parts) < 2:
-        parts = _halves(tiles)
-    return [small for part in parts for small in _within_limit(part, limit)]
+def _merged(box, size, target: int, limit: int):
+    """Group number of each part after joining, again and again, the pair with the least gap, then the size nearest to the target.
 
+    ``box`` has min x, min y, max x, max y per part. All pairs of the at most 64
+    parts are weighed at once in square tables.
+    """
+    import numpy as np
 
-def _merge(groups, target, limit):
-    """Join the nearest pair that comes closest to the target, until none fits."""
-    groups = sorted(groups, key=_bounds)
+    group, box, size = np.arange(len(size)), box.copy(), size.copy()
+    alive = np.ones(len(size), bool)
     while True:
-        best = None
-        for i, a in enumerate(groups):
-            if _bytes(a) >= target:
-                continue
-            for j in range(i + 1, len(groups)):
-                b = groups[j]
-                size = _bytes(a) + _bytes(b) - END_RECORD_BYTES
-                x0, y0, x1, y1 = _bounds(a + b)
-                if size > limit or x1 - x0 >= MAX_SPAN_TILES or y1 - y0 >= MAX_SPAN_TILES:
-                    continue
-                gap = _gap(a, b)
-                if gap <= MAX_GAP_TILES and (best is None or (gap, abs(target - size), i, j) < best):
-                    best = (gap, abs(target - size), i, j)
-        if best is None:
-            return groups
-        _, _, i, j = best
-        joined = sorted(groups[i] + groups[j])
-        groups = sorted([g for k, g in enumerate(groups) if k not in (i, j)] + [joined], key=_bounds)
+        low, high = np.minimum(box[:, None, :2], box[None, :, :2]), np.maximum(box[:, None, 2:], box[None, :, 2:])
+        apart = np.maximum(0, np.maximum(box[:, None, :2] - box[None, :, 2:], box[None, :, :2] - box[:, None, 2:]) - 1)
+        gap = np.hypot(apart[..., 0], apart[..., 1])
+        total = size[:, None] + size[None, :] - END_RECORD_BYTES
+        fits = ((total <= limit) & ((high - low).max(axis=2) < MAX_SPAN_TILES) & (gap <= MAX_GAP_TILES)
+                & (np.minimum(size[:, None], size[None, :]) < target) & alive[:, None] & alive[None, :])
+        i, j = np.nonzero(np.triu(fits, 1))
+        if not len(i):
+            return group
+        # Equal gap and size: the pair whose corners come first.
+        corner = box[i, 0] * 64 + box[i, 1], box[j, 0] * 64 + box[j, 1]
+        k = np.lexsort((j, i, corner[1], corner[0], np.abs(target - total[i, j]), gap[i, j]))[0]
+        a, b = i[k], j[k]
+        group[group == b], alive[b] = a, False
+        size[a] = total[a, b]
+        box[a] = np.concatenate([low[a, b], high[a, b]])
+
+
+def refused_tiles(tiles: DataFrame, hard_max: int = HARD_MAX_BYTES) -> DataFrame:
+    """Tiles that no pack may hold, with the reason; a build must not go on with any."""
+    over = F.col("zip_bytes") + END_RECORD_BYTES > hard_max
+    return tiles.filter(over | F.col("zip_bytes").isNull()).withColumn(
+        "reason", F.when(over, "TILE_OVER_HARD_LIMIT").otherwise("TILE_SIZE_UNKNOWN"))
 
 
 def assign_packs(tiles: DataFrame, target: int = TARGET_BYTES, soft_max: int = SOFT_MAX_BYTES,
-                 dense: int = DENSE_BYTES) -> DataFrame:
+                 dense: int = DENSE_BYTES, hard_max: int = HARD_MAX_BYTES) -> DataFrame:
     """Give every tile (tx, ty, zip_bytes) a pack within its 8 x 8 seed square.
 
-    Blocks of 2 x 2 tiles holding 512 KiB or more stay on their own; the rest of
+    Squares of 2 x 2 tiles holding 512 KiB or more stay on their own; the rest of
     a seed is split to fit the soft limit and merged towards the target. A seed
-    never holds more than 64 distinct tiles, so the groups stay small.
+    never holds more than 64 distinct tiles, so the groups stay small. Tiles over
+    the hard limit get no pack (``refused_tiles`` lists them, ``coverage_check``
+    misses them); of a repeated tile the largest row is packed and
+    ``coverage_check`` reports the repetition.
     """
+    import numpy as np
     import pandas as pd
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(x), int(y), int(z)) for x, y, z in zip(pdf["tx"], pdf["ty"], pdf["zip_bytes"])]
-        crowded, sparse = [], []
-        for block in _blocks(rows, 2):
-            if _bytes(block) >= dense:
-                crowded.extend(_within_limit(block, soft_max))
-            else:
-                sparse.extend(block)
-        groups = _merge(_within_limit(sparse, soft_max), target, soft_max) if sparse else []
-        tagged = sorted([(g, False) for g in groups] + [(g, True) for g in crowded], key=lambda g: _bounds(g[0]))
-        out = [(x, y, z, d, n) for n, (g, d) in enumerate(tagged) for x, y, z in g]
-        done = pd.DataFrame(out, columns=["tx", "ty", "zip_bytes", "dense", "pack_no"])
-        return done.assign(seed_x=pdf["seed_x"].iloc[0], seed_y=pdf["seed_y"].iloc[0])
+        x, y, size = (pdf[c].to_numpy(np.int64) for c in ("tx", "ty", "zip_bytes"))
+        grid = SeedGrid(x % SEED_TILES, y % SEED_TILES, size)
+        crowded = np.zeros(len(x), bool)
+        ranges = []
+        for a, b in grid.quarters(0, len(x), 4):
+            if grid.bytes(a, b) >= dense:
+                crowded[a:b] = True
+                ranges += [(np.arange(c, d), True) for c, d in grid.fitting(a, b, 4, soft_max)]
+        rest = np.flatnonzero(~crowded)
+        if len(rest):
+            sparse = SeedGrid(grid.x[rest], grid.y[rest], grid.size[rest])
+            parts = list(sparse.fitting(0, len(rest), 64, soft_max))
+            box = np.array([[sparse.x[a:b].min(), sparse.y[a:b].min(), sparse.x[a:b].max(), sparse.y[a:b].max()] for a, b in parts])
+            group = _merged(box, np.array([sparse.bytes(a, b) for a, b in parts]), target, soft_max)
+            own = np.repeat(group, [b - a for a, b in parts])
+            ranges += [(rest[sparse.order][own == g], False) for g in np.unique(group)]
+        ranges.sort(key=lambda r: (grid.x[r[0]].min(), grid.y[r[0]].min(), grid.x[r[0]].max(), grid.y[r[0]].max()))
+        done = pd.concat([pdf.iloc[grid.order[at]].assign(dense=d, pack_no=n) for n, (at, d) in enumerate(ranges)])
+        return done[["tx", "ty", "zip_bytes", "dense", "pack_no", "seed_x", "seed_y"]]
 
     seeds = tiles.select("tx", "ty", F.col("zip_bytes").cast("long").alias("zip_bytes"),
                          F.floor(F.col("tx") / SEED_TILES).alias("seed_x"), F.floor(F.col("ty") / SEED_TILES).alias("seed_y"))
-    single = seeds.groupBy("tx", "ty", "seed_x", "seed_y").agg(F.min("zip_bytes").alias("zip_bytes"))
+    seeds = seeds.filter(F.col("zip_bytes") + END_RECORD_BYTES <= hard_max)
+    single = seeds.groupBy("tx", "ty", "seed_x", "seed_y").agg(F.max("zip_bytes").alias("zip_bytes"))
     return single.groupBy("seed_x", "seed_y").applyInPandas(plan, PACKED)
 
 

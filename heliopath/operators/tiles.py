@@ -105,22 +105,20 @@ def reason_code(code, message) -> Column:
             .when(has("decompress", "worker"), "SCENE_DECOMPRESS_FAILURE").otherwise("SCENE_DATA_UNAVAILABLE"))
 
 
-def split_by_length(vertices: DataFrame, lengths: DataFrame, chunk_m: float = 5000.0,
-                    max_route_m: float = 250000.0) -> DataFrame:
+def split_by_length(vertices: DataFrame, chunk_m: float = 5000.0) -> DataFrame:
     """Cut routes into pieces of at least ``chunk_m``; neighbours share a vertex.
 
     The counter restarts at each cut, so this is a running state over one
     route's vertices in order. Partitions are sorted and streamed through with a
-    constant amount of memory. Routes over ``max_route_m`` get no scene at all
-    and are left out, which bounds how long one route can be.
+    constant amount of memory. Routes too long for a scene are cut like any
+    other; that they get none is said by the guard on their length.
     """
     import pandas as pd
 
-    allowed = lengths.filter(F.col("length_m") <= max_route_m).select("route_id")
     pairs = with_next(vertices.select("route_id", "v_idx", "lat", "lng"), ["lat", "lng"])
     from ..functions.geo import haversine_m
 
-    rows = pairs.join(allowed, "route_id", "left_semi").select(
+    rows = pairs.select(
         "route_id", "v_idx", haversine_m("lat", "lng", "lat_next", "lng_next").alias("m"))
 
     def cut(batches):

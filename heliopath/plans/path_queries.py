@@ -356,19 +356,18 @@ def f19(spark, sf):
 r AS (SELECT route_id, max(total_m) dm FROM ({S.running()}) GROUP BY 1),
 e AS (SELECT route_id, arg_min(lat,v_idx) a, arg_min(lng,v_idx) b, arg_max(lat,v_idx) c, arg_max(lng,v_idx) d, 
  string_agg(concat(printf('%.4f',lng),',',printf('%.4f',lat)),';' ORDER BY v_idx) g FROM fx_route_vertices GROUP BY 1)
-SELECT route_id, concat('route-',printf('%.3f',dm),'-',printf('%.5f',duration_sec),'-',printf('%.5f',a),'-',printf('%.5f',b),'-',printf('%.5f',c),'-',printf('%.5f',d),'-',g) AS identity
+SELECT route_id, concat('route-',printf('%.5f',round(dm,3)),'-',printf('%.5f',duration_sec),'-',printf('%.5f',b),'-',printf('%.5f',a),'-',printf('%.5f',d),'-',printf('%.5f',c),'-',g) AS identity
 FROM e JOIN r USING (route_id) JOIN fx_routes USING (route_id)""")
 def f19b(spark, sf):
     run = _running(spark, sf)
-    arrays = similarity.sample_arrays(similarity.sample_routes(run, 64))
+    arrays = similarity.sample_arrays(similarity.sample_routes(run, keys.IDENTITY_SAMPLES))
     v = _verts(spark, sf)
     e = v.groupBy("route_id").agg(F.min_by(F.struct("lat", "lng"), "v_idx").alias("s"), F.max_by(F.struct("lat", "lng"), "v_idx").alias("e"))
     rows = e.join(arrays, "route_id").join(run.filter("seg_idx = 0").select("route_id", "total_m"), "route_id").join(routes(spark, sf), "route_id")
-    text = keys.route_identity(F.lit(0.0), "duration_sec", (F.col("s.lat"), F.col("s.lng")), (F.col("e.lat"), F.col("e.lng")),
+    # The length is rounded to millimetres: its fifth decimal is below the engines' agreement.
+    text = keys.route_identity(F.round("total_m", 3), "duration_sec", (F.col("s.lng"), F.col("s.lat")), (F.col("e.lng"), F.col("e.lat")),
                                keys.geometry_signature("samples"), "route_id")
-    # The length keeps 3 decimals here: the fifth is below the engines' agreement.
-    return rows.select("route_id", F.concat(F.lit("route-"), keys.fixed("total_m", 3), F.lit("-"),
-                                            F.substring_index(text, "route-0.00000-", -1)).alias("identity"))
+    return rows.select("route_id", text.alias("identity"))
 
 
 @query("D1_spa_position")

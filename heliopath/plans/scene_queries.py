@@ -265,7 +265,7 @@ st AS (SELECT route_id, CAST(-1 AS BIGINT) n, CAST(0 AS BIGINT) piece, 0.0::DOUB
 SELECT route_id, n AS seg_idx, piece FROM st WHERE n>=0""")
 def w9(spark, sf):
     v = view(spark, sf, "fx_route_vertices")
-    return tiles.split_by_length(v, paths.route_lengths(paths.route_segments(v)), chunk_m=300.0)
+    return tiles.split_by_length(v, chunk_m=300.0)
 
 
 @query("P13_P15_scene_guards", f"""{cte('fx_route_vertices')}, s AS (SELECT route_id, sum(seg_m)*200 m, count(*)*2 n FROM ({S.segments()}) GROUP BY 1)
@@ -304,6 +304,9 @@ def a16(spark, sf):
 
 # -- occlusion in one plane --------------------------------------------------
 
+# Fixed value: how far a segment's midpoint may lie from the sample that gives its height.
+ELEVATION_M = 500.0
+
 PLANE = cte("fx_terrain", "fx_buildings", "fx_ray_points")
 BUILT = """h AS (SELECT *, CASE tag_height WHEN '12 m' THEN 12.0 WHEN '30 ft' THEN 9.144 END::DOUBLE th, CAST(tag_levels AS DOUBLE) lv,
  coalesce(CASE WHEN tag_min_height IS NOT NULL THEN 12 END,round(CAST(tag_min_level AS DOUBLE)*3,3),0)::DOUBLE ml, coalesce(CASE WHEN tag_min_height IS NOT NULL THEN 12 END,round(CAST(tag_min_level AS DOUBLE)*4.5,3),0)::DOUBLE mu FROM fx_buildings),
@@ -315,8 +318,7 @@ ed AS (SELECT point_id, building_id, x, y, dx, dy, abs(x-cx)<half_m AND abs(y-cy
  FROM ry, bb, (VALUES (-1,-1,1,-1),(1,-1,1,1),(1,1,-1,1),(-1,1,-1,-1)) q(ax,ay,bx,by_)),
 ht AS (SELECT point_id, building_id, CASE WHEN bool_or(ins) THEN 0 ELSE min(t) FILTER (WHERE abs(det)>=1e-9 AND t>=0 AND u>=0 AND u<=1 AND t<=4500) END hit_m
  FROM (SELECT *, ((ax-x)*sy-(ay-y)*sx)/nullif(det,0) t, ((ax-x)*dy-(ay-y)*dx)/nullif(det,0) u FROM (SELECT *, dx*sy-dy*sx det FROM ed)) GROUP BY ALL)"""
-ROAD = """rz AS (SELECT point_id, arg_min(elevation, sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y))*1000000+sample_id) road_z FROM fx_ray_points p JOIN fx_terrain s
- ON sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y))<=180 GROUP BY 1)"""
+ROAD = """rz AS (SELECT point_id, arg_min(elevation, sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y))*1000000+sample_id) road_z FROM fx_ray_points p, fx_terrain s GROUP BY 1)"""
 PROBE = """pb AS (SELECT point_id, road_z, sun_altitude, m, x+dx*m px, y+dy*m py FROM ry LEFT JOIN rz USING (point_id), (VALUES (250.0::DOUBLE),(600),(1200),(2400)) t(m)),
 pe AS (SELECT point_id, m, arg_min(elevation, sqrt((px-x)*(px-x)+(py-y)*(py-y))*1000000+sample_id) el FROM pb JOIN fx_terrain ON sqrt((px-x)*(px-x)+(py-y)*(py-y))<=180 GROUP BY ALL),
 tc AS (SELECT pb.point_id, max(road_z) rz, max(el-(road_z+tan(radians(sun_altitude))*pb.m)) cl, count(el)=4 full_ FROM pb LEFT JOIN pe ON pe.point_id=pb.point_id AND pe.m=pb.m GROUP BY 1),
@@ -345,11 +347,14 @@ def j4(spark, sf):
     return rounded(nearest_any(p, view(spark, sf, "fx_terrain")), 6, "distance").select("point_id", "sample_id", "distance")
 
 
-@query("J31_segment_elevation", f"""{PLANE}, {ROAD}
+@query("J31_segment_elevation", f"""{PLANE}, mp AS (SELECT point_id, x+60 mx, y-45 my FROM fx_ray_points),
+rz AS (SELECT point_id, arg_min(elevation, sqrt((mx-x)*(mx-x)+(my-y)*(my-y))*1000000+sample_id) road_z FROM mp JOIN fx_terrain ON sqrt((mx-x)*(mx-x)+(my-y)*(my-y))<=500 GROUP BY 1)
 SELECT point_id, road_z AS elevation_m, round(100*pow((44331.514::DOUBLE-coalesce(road_z,0))/11880.516,1/0.1902632::DOUBLE),3) AS pressure_pa FROM fx_ray_points LEFT JOIN rz USING (point_id)""")
 def j31(spark, sf):
-    p = view(spark, sf, "fx_ray_points")
-    near = nearest_within(p, view(spark, sf, "fx_terrain"), 180.0, keep=["elevation"])
+    """Segments of 120 m by -90 m begin at the ray points; the sample nearest to the midpoint counts."""
+    p = view(spark, sf, "fx_ray_points").withColumns({"x2": F.col("x") + 120, "y2": F.col("y") - 90})
+    middle = p.withColumns({"x": (F.col("x") + F.col("x2")) / 2, "y": (F.col("y") + F.col("y2")) / 2})
+    near = nearest_within(middle, view(spark, sf, "fx_terrain"), ELEVATION_M, keep=["elevation"])
     out = p.join(near, "point_id", "left").select("point_id", F.col("elevation").alias("elevation_m"),
                                                   solar.pressure_pa("elevation").alias("pressure_pa"))
     return rounded(out, 3, "pressure_pa")
@@ -382,7 +387,7 @@ SELECT point_id, round(cl,4) AS clearance_m, st AS terrain_state FROM te""")
 def a8(spark, sf):
     p = view(spark, sf, "fx_ray_points")
     s = view(spark, sf, "fx_terrain")
-    road = nearest_within(p, s, 180.0, keep=["elevation"]).select("point_id", F.col("elevation").alias("road_z"))
+    road = nearest_any(p, s, keep=["elevation"]).select("point_id", F.col("elevation").alias("road_z"))
     probes = occlusion.terrain_probes(occlusion.with_ray(p).join(road, "point_id", "left"), s)
     return rounded(occlusion.terrain_verdict(probes), 4, "clearance_m").select("point_id", "clearance_m", "terrain_state")
 

@@ -72,7 +72,7 @@ def _followed(spark, sf):
     run = paths.with_last_segment(_running(spark, sf))
     ends = run.filter("seg_idx = last_seg").select("route_id", F.col("lat2").alias("end_lat"), F.col("lng2").alias("end_lng"), "last_seg")
     cleaned = nav.clean_fixes(_fixes(spark, sf)).withColumn("route_id", F.col("session_id"))
-    return nav.follow_routes(nav.with_near(cleaned, nav.nearby_segments(run), ends))
+    return nav.follow_routes(nav.with_near(cleaned, nav.nearby_segments(run), ends, segments=run))
 
 
 @query("R6_R9_R10_followed")

@@ -38,12 +38,14 @@ def build_session(app: str = "heliopath", master: str | None = None, **conf: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for iterative jobs.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    when that is unset (local tests) a temporary one is made.
+    The folder is the one the session names in ``spark.checkpoint.dir``; a
+    temporary one is made only under a local master, elsewhere an unset folder is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(
             named or tempfile.mkdtemp(prefix=f"heliopath-{os.getpid()}-")
         )

@@ -209,37 +209,56 @@ def region_bounds(lines: DataFrame, key: str = "region", column: str = "value")
 
 
 def read_elevation_lines(spark: SparkSession, path: str, side: int = 3601) -> DataFrame:
-    """Raster files as one row per line: file, north, west, row, elev.
+    """Raster files as one row per line: file, north, west, row, elev, problem.
 
     Names such as N42W072.hgt (also gzipped) hold the south-west corner; values
     are big-endian 16-bit, -32768 is void. One file is one row of the scan, so
-    files spread over the tasks.
+    files spread over the tasks. A file that cannot be read gives one row that
+    holds nothing but its name and the ``problem``.
     """
     import gzip
     import re
+    import zlib
 
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    kinds = pa.schema([("file", pa.string()), ("north", pa.int32()), ("west", pa.int32()), ("row", pa.int32()),
+                       ("elev", pa.list_(pa.int16())), ("problem", pa.string())])
+
+    def lines(name, content):
+        found = re.search(r"([NS])(\d{2})([EW])(\d{3})\.hgt(?:\.gz)?$", name)
+        file, problem, raw = name.rsplit("/", 1)[-1], None if found else "FILE_NAME", content
+        if name.endswith(".gz"):
+            try:
+                raw = gzip.decompress(content)
+            except (OSError, EOFError, zlib.error):
+                problem = problem or "GZIP"
+        if problem is None and len(raw) != side * side * 2:
+            problem = "FILE_SIZE"
+        if problem:
+            yield pa.RecordBatch.from_pylist([{"file": file, "problem": problem}], schema=kinds)
+            return
+        grid = np.frombuffer(raw, dtype=">i2").astype(np.int16).reshape(side, side)
+        north = int(found[2]) * (1 if found[1] == "N" else -1)
+        west = int(found[4]) * (1 if found[3] == "E" else -1)
+        for start in range(0, side, 256):
+            block = grid[start:start + 256]
+            n = len(block)
+            values = pa.array(block.ravel(), pa.int16(), mask=block.ravel() == -32768)
+            elev = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * side, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file] * n), pa.array([north] * n, pa.int32()), pa.array([west] * n, pa.int32()),
+                 pa.array(np.arange(start, start + n), pa.int32()), elev, pa.nulls(n, pa.string())], schema=kinds)
 
     def decode(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                found = re.search(r"([NS])(\d{2})([EW])(\d{3})\.hgt(?:\.gz)?$", name)
-                raw = gzip.decompress(content) if name.endswith(".gz") else bytes(content)
-                if not found or len(raw) < side * side * 2:
-                    continue
-                grid = np.frombuffer(raw, dtype=">i2", count=side * side).reshape(side, side).astype("int16")
-                north = int(found[2]) * (1 if found[1] == "N" else -1)
-                west = int(found[4]) * (1 if found[3] == "E" else -1)
-                for start in range(0, side, 256):
-                    block = grid[start:start + 256]
-                    rows = [[None if v == -32768 else int(v) for v in line] for line in block]
-                    yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "north": north, "west": west,
-                                        "row": range(start, start + len(block)), "elev": rows})
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from lines(name, content)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt*").load(path)
-    return files.select("path", "content").mapInPandas(
-        decode, "file string, north int, west int, row int, elev array<smallint>")
+    return files.select("path", "content").mapInArrow(
+        decode, "file string, north int, west int, row int, elev array<smallint>, problem string")
 
 
 def asset_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

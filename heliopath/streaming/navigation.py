@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import along, angle_between, bearing_deg, distance_m, haversine_m, segment_fraction
-from ..operators.spatial import explode_geo_points, explode_geo_segments
+from ..operators.spatial import explode_geo_points, explode_geo_segments, nearest_segment
+from ..session import cut_lineage
 from .keyed import run_batch, run_stream
 from .steps import accept_fix, follow_route, raise_alerts, refresh_rules
 
@@ -40,10 +41,14 @@ def nearby_segments(segments: DataFrame, radius: float = MATCH_M) -> DataFrame:
         F.collect_set(F.struct("seg_idx", "lat1", "lng1", "lat2", "lng2")).alias("segments"))
 
 
-def with_near(fixes: DataFrame, lookup: DataFrame, ends: DataFrame, radius: float = MATCH_M) -> DataFrame:
+def with_near(fixes: DataFrame, lookup: DataFrame, ends: DataFrame, radius: float = MATCH_M,
+              segments: DataFrame | None = None) -> DataFrame:
     """Add ``near`` (segments within reach), ``goal_m`` and ``last_seg``.
 
-    ``fixes`` carries route_id; ``ends``: route_id, end_lat, end_lng, last_seg.
+    ``fixes`` carries route_id and a unique fix_id; ``ends``: route_id, end_lat,
+    end_lng, last_seg. Where no segment is within reach, the nearest one of the
+    route at any distance is found among ``segments``; without them (in a
+    stream, which has only the look-up) ``near`` stays empty there.
     """
     rows = explode_geo_points(fixes, "lat", "lng", radius, around=False)
     rows = rows.join(lookup, ["route_id", "band", "cx", "cy"], "left").join(ends, "route_id", "left")
@@ -64,8 +69,17 @@ def with_near(fixes: DataFrame, lookup: DataFrame, ends: DataFrame, radius: floa
 
     placed = F.transform(F.transform(F.transform("segments", foot), place), measured)
     near = F.sort_array(F.filter(placed, lambda c: c["gap"] <= radius))
-    return rows.withColumn("near", near).withColumn(
+    out = rows.withColumn("near", near).withColumn(
         "goal_m", haversine_m("lat", "lng", "end_lat", "end_lng")).drop("segments", "band", "cx", "cy", "end_lat", "end_lng")
+    if segments is None:
+        return out
+    out = cut_lineage(out)
+    far = out.filter(F.coalesce(F.size("near"), F.lit(0)) <= 0).filter("lat IS NOT NULL AND lng IS NOT NULL")
+    found = nearest_segment(far.select("fix_id", "route_id", "lat", "lng"), segments, "fix_id", first_m=8 * radius)
+    only = found.select("fix_id", F.array(F.struct(
+        F.col("seg_idx").alias("seg"), "t", F.col("snap_lat").alias("lat"), F.col("snap_lng").alias("lng"),
+        F.col("distance").alias("gap"), bearing_deg("lat1", "lng1", "lat2", "lng2").alias("bearing"))).alias("_only"))
+    return out.join(only, "fix_id", "left").withColumn("near", F.coalesce("_only", "near")).drop("_only")
 
 
 def follow_routes(cleaned: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,32 @@ def test_packs_hold_every_tile_within_limits(spark):
     first = {r["pack"] for r in packs.pack_table(a).collect()}
     again = {r["pack"] for r in packs.pack_table(packs.assign_packs(t.orderBy(F.desc("zip_bytes")))).collect()}
     assert first == again
+    huge = spark.createDataFrame([(0, 0, packs.HARD_MAX_BYTES), (1, 0, 5), (1, 0, 9), (2, 0, 7)], "tx long, ty long, zip_bytes long")
+    assert [(r.tx, r.reason) for r in packs.refused_tiles(huge).collect()] == [(0, "TILE_OVER_HARD_LIMIT")]
+    assert {r.tx for r in packs.coverage_check(huge, packs.assign_packs(huge)).collect()} == {0, 1}
+
+
+def test_packs_follow_the_rule(spark):
+    """Dense squares alone; light neighbours joined up to the target; no pack over 8 tiles wide or the soft limit."""
+    rng = np.random.default_rng(8)
+    t = spark.createDataFrame([(int(x), int(y), int(z)) for (x, y), z in zip(
+        {(int(a), int(b)) for a, b in rng.integers(-20, 20, (700, 2))}, rng.integers(1000, 3_000_000, 700))],
+        "tx long, ty long, zip_bytes long")
+    a = packs.assign_packs(t).collect()
+    held = {}
+    for r in a:
+        held.setdefault((r.seed_x, r.seed_y, r.pack_no), []).append(r)
+    squares = {}
+    for r in a:
+        squares.setdefault((r.tx // 2, r.ty // 2), []).append(r)
+    for rows in squares.values():
+        assert {r.dense for r in rows} == {sum(r.zip_bytes for r in rows) + packs.END_RECORD_BYTES >= packs.DENSE_BYTES}
+    for rows in held.values():
+        assert len({r.dense for r in rows}) == 1
+        if rows[0].dense:
+            assert len({(r.tx // 2, r.ty // 2) for r in rows}) == 1
+        assert len(rows) == 1 or sum(r.zip_bytes for r in rows) + packs.END_RECORD_BYTES <= packs.SOFT_MAX_BYTES
+        assert max(r.tx for r in rows) - min(r.tx for r in rows) < 8 and max(r.ty for r in rows) - min(r.ty for r in rows) < 8
 
 
 def test_evenly_picked_positions(spark):

@@ -6,9 +6,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# The slowest ones run in the gate only.
-SLOW = {"W11_T7_precision_geometry", "D3_J6_building_table", "D4_terrain_lattice", "A6_tile_stats",
-        "J14_J15_J28_nearest_segment", "A3_A4_J13_similar_pairs"}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +13,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(oracle_sql())))
 def test_agrees(spark, con, name):
     assert compare(spark, con, queries()[name], oracle_sql()[name], SF) == ""
 

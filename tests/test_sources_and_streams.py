@@ -107,3 +107,28 @@ def test_route_formats_reject_nothing_silently(spark):
 def test_rejected_fixes_keep_no_heading(spark):
     rows = nav.clean_fixes(_fixes(spark)).filter("NOT accepted").select("heading").distinct().collect()
     assert [r["heading"] for r in rows] == [None]
+
+
+def test_bad_elevation_files_are_told(spark, tmp_path):
+    grid = np.arange(9, dtype=">i2")
+    (tmp_path / "N42W072.hgt").write_bytes(grid.tobytes())
+    (tmp_path / "N43W072.hgt").write_bytes(grid.tobytes()[:-2])
+    (tmp_path / "N44W072.hgt.gz").write_bytes(b"not gzip")
+    (tmp_path / "north.hgt").write_bytes(grid.tobytes())
+    rows = files.read_elevation_lines(spark, str(tmp_path), side=3).collect()
+    assert {r["file"]: r["problem"] for r in rows} == {
+        "N42W072.hgt": None, "N43W072.hgt": "FILE_SIZE", "N44W072.hgt.gz": "GZIP", "north.hgt": "FILE_NAME"}
+
+
+def test_fixes_far_off_the_route_keep_their_distance(spark):
+    from heliopath.operators import paths
+
+    v = spark.createDataFrame([(1, i, 42.0, -71.0 + 0.01 * i) for i in range(4)], "route_id long, v_idx long, lat double, lng double")
+    run = paths.with_running_m(paths.with_heading(paths.route_segments(v)))
+    ends = spark.createDataFrame([(1, 42.0, -70.97, 2)], "route_id long, end_lat double, end_lng double, last_seg long")
+    fixes = spark.createDataFrame([(1, 1, 42.0001, -70.995), (2, 1, 42.0018, -70.985), (3, 1, 42.3, -70.975)],
+                                  "fix_id long, route_id long, lat double, lng double")
+    out = {r.fix_id: r.near for r in nav.with_near(fixes, nav.nearby_segments(run), ends, segments=run).collect()}
+    assert [out[k][0].seg for k in (1, 2, 3)] == [0, 1, 2]
+    for k, metres in ((1, 11.1), (2, 200.2), (3, 33358.5)):
+        assert abs(out[k][0].gap - metres) < metres * 0.001 + 0.1
