@@ -353,11 +353,14 @@ def f19(spark, sf):
 
 
 @query("F19_route_identity", f"""{BOTH},
-r AS (SELECT route_id, max(total_m) dm FROM ({S.running()}) GROUP BY 1),
-e AS (SELECT route_id, arg_min(lat,v_idx) a, arg_min(lng,v_idx) b, arg_max(lat,v_idx) c, arg_max(lng,v_idx) d, 
- string_agg(concat(printf('%.4f',lng),',',printf('%.4f',lat)),';' ORDER BY v_idx) g FROM fx_route_vertices GROUP BY 1)
+q AS ({S.running()}), n AS (SELECT route_id, count(*)+1 nv, max(total_m) dm FROM q GROUP BY 1),
+sm AS (SELECT route_id, v_idx k, lat, lng FROM fx_route_vertices JOIN n USING (route_id) WHERE nv<=12 UNION ALL
+ SELECT route_id, k, lat1+(lat2-lat1)*f, lng1+(lng2-lng1)*f FROM (SELECT route_id, k, lat1, lat2, lng1, lng2, CASE WHEN seg_m>0 THEN (dm*k/11.0::DOUBLE-start_m)/seg_m ELSE 0 END f,
+  row_number() OVER (PARTITION BY route_id, k ORDER BY seg_idx) rn FROM q JOIN n USING (route_id), range(12) t(k) WHERE nv>12 AND dm*k/11.0::DOUBLE<=end_m+1e-9) WHERE rn=1),
+e AS (SELECT route_id, arg_min(lat,v_idx) a, arg_min(lng,v_idx) b, arg_max(lat,v_idx) c, arg_max(lng,v_idx) d FROM fx_route_vertices GROUP BY 1),
+g AS (SELECT route_id, string_agg(concat(printf('%.4f',lng),',',printf('%.4f',lat)),';' ORDER BY k) g FROM sm GROUP BY 1)
 SELECT route_id, concat('route-',printf('%.5f',round(dm,3)),'-',printf('%.5f',duration_sec),'-',printf('%.5f',b),'-',printf('%.5f',a),'-',printf('%.5f',d),'-',printf('%.5f',c),'-',g) AS identity
-FROM e JOIN r USING (route_id) JOIN fx_routes USING (route_id)""")
+FROM e JOIN n USING (route_id) JOIN g USING (route_id) JOIN fx_routes USING (route_id)""")
 def f19b(spark, sf):
     run = _running(spark, sf)
     arrays = similarity.sample_arrays(similarity.sample_routes(run, keys.IDENTITY_SAMPLES))
