@@ -103,20 +103,17 @@ def longs(blob, kind=np.uint64) -> np.ndarray:
 
 
 class Block:
-    """Texts gathered by a task, with their distinct words and grams."""
+    """The distinct words and grams of texts gathered by a task."""
 
     def __init__(self, depth: int):
-        self.depth, self.bytes, self.blobs = depth, 0, []
+        self.depth, self.bytes = depth, 0
         self.index, self.counts = Index(), np.zeros(0, np.int64)
         self.keys, self.key_counts = [], []
 
-    def add(self, ids, datas: list[bytes], train: np.ndarray):
-        import pyarrow as pa
-
-        words = [d.lower().split() for d in datas]
-        streams = [b" ".join(w) + END for w in words]
-        flat = self.index.numbers([w for own in words for w in (*own, END_WORD)])
-        trained = np.bincount(flat[np.repeat(train, [len(w) + 1 for w in words])], minlength=len(self.index))
+    def add(self, streams: list[bytes], train: np.ndarray):
+        words = [words_of(s) for s in streams]
+        flat = self.index.numbers([w for own in words for w in own])
+        trained = np.bincount(flat[np.repeat(train, list(map(len, words)))], minlength=len(self.index))
         trained[:len(self.counts)] += self.counts
         self.counts = trained
         gram, starts = grams_of(streams, self.depth)
@@ -128,26 +125,36 @@ class Block:
         if len(self.keys) > 12:
             key, count = merged(self.keys, self.key_counts)
             self.keys, self.key_counts = [key], [count]
-        sink = pa.BufferOutputStream()
-        rows = pa.record_batch([ids, pa.array(~train), pa.array(streams, pa.binary())], ["doc_id", "held_out", "stream"])
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(rows)
-        self.blobs.append(sink.getvalue().to_pybytes())
         self.bytes += sum(map(len, streams))
 
-    def rows(self, block: int, parts: int):
-        """Rows (block, part, kind, one, two): the texts as kind 0, words as kind 1, grams as kind 2."""
-        import pyarrow as pa
-
-        out = [(block, 0, 0, blob, None) for blob in self.blobs]
+    def distinct(self):
+        """(keys in order, training counts) of words and of grams."""
         key, order = word_keys(self.index)
-        for kind, keys, counts in ((1, key, self.counts[order]), (2, *merged(self.keys, self.key_counts))):
-            out += [(block, p, kind, keys[at].tobytes(), counts[at].astype(np.uint32).tobytes())
-                    for p, at in by_part(keys, parts)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
-             pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.binary()),
-             pa.array([r[4] for r in out], pa.binary())], ["block", "part", "kind", "one", "two"])
+        return (key, self.counts[order]), merged(self.keys, self.key_counts)
+
+
+def words_of(stream: bytes) -> list[bytes]:
+    return [*stream[:-1].split(), END_WORD]
+
+
+def packed(ids, train: np.ndarray, streams: list[bytes]) -> bytes:
+    """Texts as one compressed Arrow stream."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    rows = pa.record_batch([ids, pa.array(~train), pa.array(streams, pa.binary())], ["doc_id", "held_out", "stream"])
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+    with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def gathered_rows(rows):
+    """(block, part, kind, one, two) tuples as an Arrow batch: a text blob is kind 0, words are kind 1, grams kind 2."""
+    import pyarrow as pa
+
+    kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "one": pa.binary(), "two": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
 
 
 def word_keys(index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -244,15 +251,24 @@ def _gathered(docs: DataFrame, depth: int, parts: int, id_col: str, text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
 
     def gather(batches):
-        first, n, block = TaskContext.get().partitionId() << 24, 0, Block(depth)
+        n, block = TaskContext.get().partitionId() << 24, Block(depth)
+
+        def keys():
+            for kind, (key, count) in enumerate(block.distinct(), 1):
+                for p, at in by_part(key, parts):
+                    yield gathered_rows([(n, p, kind, key[at].tobytes(), count[at].astype(np.uint32).tobytes())])
+
         for batch in batches:
             for piece in parts_of(batch, PIECE_BYTES):
-                block.add(piece.column(0), texts_of(piece.column(1)), piece.column(2).to_numpy(zero_copy_only=False).astype(bool))
+                train = piece.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                streams = [b" ".join(d.lower().split()) + END for d in texts_of(piece.column(1))]
+                yield gathered_rows([(n, 0, 0, packed(piece.column(0), train, streams), None)])
+                block.add(streams, train)
                 if block.bytes > BLOCK_BYTES:
-                    yield block.rows(first + n, parts)
+                    yield from keys()
                     n, block = n + 1, Block(depth)
-        if block.blobs:
-            yield block.rows(first + n, parts)
+        if block.bytes:
+            yield from keys()
 
     return rows.mapInArrow(gather, "block long, part int, kind int, one binary, two binary")
 
@@ -326,46 +342,45 @@ def score_texts(docs: DataFrame, depth: int = 5, id_col: str = "doc_id", text_co
         for b, k, o in zip(block, kind, one):
             own = longs(o)
             value = counts[np.searchsorted(words, own)] if k == 1 else log10[np.searchsorted(grams, own)]
-            out.append((b, k, o, value.astype(np.int64 if k == 1 else float).tobytes()))
-        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
-                         pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())],
-                        names=["block", "kind", "one", "two"])
-
-    answered = keys.select("part", "block", "kind", "one", "two").groupBy("part").cogroup(valued.groupBy("part")).applyInArrow(
-        answer, "block long, kind int, one binary, two binary")
+            out.append((b, k, value.tobytes()))
+        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([asked.column("part")[0].as_py()] * len(out), pa.int32()),
+                         pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())],
+                        names=["block", "part", "kind", "value"])
+
+    asked = keys.select("part", "block", "kind", "one", F.when(F.col("kind") == 1, F.col("two")).alias("two"))
+    answered = asked.groupBy("part").cogroup(valued.groupBy("part")).applyInArrow(
+        answer, "block long, part int, kind int, value binary")
     per_word = math.log10(total + 0.1 * (kinds + 1)) if total else 0.0
 
     def score(texts, answers):
-        kind = answers.column("kind").to_numpy()
-        one, two = answers.column("one").to_pylist(), answers.column("two").to_pylist()
-
-        def table_of(k, dtype):
-            key = np.concatenate([np.zeros(0, np.uint64), *[longs(one[i]) for i in np.flatnonzero(kind == k)]])
-            value = np.concatenate([np.zeros(0, dtype), *[longs(two[i], dtype) for i in np.flatnonzero(kind == k)]])
-            order = np.argsort(key)
-            return key[order], value[order]
-
-        (word, count), (gram, log10) = table_of(1, np.int64), table_of(2, float)
+        """Scores of a block. Its distinct keys are found again, in the order in which their values were asked for."""
+        block = Block(depth)
+        batches = lambda: (b for blob in texts.column("one").to_pylist() for b in pa.ipc.open_stream(blob))
+        for batch in batches():
+            block.add(batch.column(2).to_pylist(), np.zeros(batch.num_rows, bool))
+        (word, _), (gram, _) = block.distinct()
+        values = {(k, p): v for k, p, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "value")))}
+        count, log10 = np.zeros(len(word), np.int64), np.zeros(len(gram))
+        for kind, key, value in ((1, word, count), (2, gram, log10)):
+            for p, at in by_part(key, parts):
+                value[at] = longs(values.pop((kind, p)), value.dtype)
+        known = np.zeros(len(word), np.int64)
+        known[word_keys(block.index)[1]] = count
         done = []
-        for blob in texts.column("one").to_pylist():
-            for batch in pa.ipc.open_stream(blob):
-                streams, index = batch.column(2).to_pylist(), Index()
-                flat = [[*s[:-1].split(), END_WORD] for s in streams]
-                number = index.numbers([w for own in flat for w in own])
-                key, order = word_keys(index)
-                known = np.zeros(len(index), np.int64)
-                known[order] = count[np.searchsorted(word, key)]
-                c, starts = known[number], starts_of(map(len, flat))
-                base = np.log10(c + 0.1) - per_word if total else np.zeros(len(c))
-                own, ends = grams_of(streams, depth)
-                distinct, inverse = np.unique(own, return_inverse=True)
-                total_log = sums_between(log10[np.searchsorted(gram, distinct)][inverse], ends)
-                size = np.diff(ends)
-                done.append(pa.table([
-                    batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(sums_between((c > 0).astype(np.int64), starts)),
-                    pa.array(np.full(len(streams), total)), pa.array(sums_between(base, starts)), pa.array(total_log),
-                    pa.array(size), pa.array(-total_log / math.log10(2) / size)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]))
+        for batch in batches():
+            streams = batch.column(2).to_pylist()
+            words = [words_of(s) for s in streams]
+            c, starts = known[block.index.numbers([w for own in words for w in own])], starts_of(map(len, words))
+            base = np.log10(c + 0.1) - per_word if total else np.zeros(len(c))
+            own, ends = grams_of(streams, depth)
+            distinct, inverse = np.unique(own, return_inverse=True)
+            total_log = sums_between(log10[np.searchsorted(gram, distinct)][inverse], ends)
+            size = np.diff(ends)
+            done.append(pa.table([
+                batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(sums_between((c > 0).astype(np.int64), starts)),
+                pa.array(np.full(len(streams), total)), pa.array(sums_between(base, starts)), pa.array(total_log),
+                pa.array(size), pa.array(-total_log / math.log10(2) / size)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]))
         return pa.concat_tables(done)
 
     return rows.filter("kind = 0").select("block", "one").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
