@@ -245,3 +245,15 @@ def via_points(ods: DataFrame) -> DataFrame:
         (F.col("_mlng") + side * F.col("_plng") / F.col("_norm") * F.col("_off") * k).alias("via_lng"))
         for n, (side, k) in enumerate(sides, 1)])
     return out.select("od_id", F.explode(points).alias("_v")).select("od_id", "_v.*")
+
+
+def candidate_union(direct: DataFrame, via: DataFrame, od: str = "od_id", order: str = "candidate_index") -> DataFrame:
+    """All direct and via candidates of a pair, direct ones first, numbered anew.
+
+    Nothing is merged here; equal routes are removed by the duplicate rule later.
+    A pair has a handful of candidates, so its window is small.
+    """
+    both = direct.withColumn("_via", F.lit(0)).unionByName(via.withColumn("_via", F.lit(1)), allowMissingColumns=True)
+    number = F.row_number().over(Window.partitionBy(od).orderBy("_via", order)) - 1
+    return both.withColumn(order, number.cast("long")).withColumn(
+        "origin", F.when(F.col("_via") == 1, "via").otherwise("direct")).drop("_via")

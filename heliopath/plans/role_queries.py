@@ -374,3 +374,13 @@ SELECT (SELECT count(*) FROM st) AS total, count(*) AS precision_cases, round(av
 def a13(spark, sf):
     out = study.study_totals(_study(spark, sf))
     return rounded(rounded(out, 6, "mean_reduction", "mean_best_reduction", "median_reduction"), 4, "total_avoided_wh", "total_cooling_central_wh")
+
+
+@query("X1_candidate_union", f"""{CAND}
+SELECT od_id, route_id, CASE WHEN route_id%2=1 THEN 'via' ELSE 'direct' END AS origin,
+ row_number() OVER (PARTITION BY od_id ORDER BY route_id%2, candidate_index)-1 AS candidate_index FROM fx_route_candidates""")
+def x1(spark, sf):
+    """Even routes stand for direct answers, odd ones for answers through a via point."""
+    c = _cand(spark, sf)
+    out = roles.candidate_union(c.filter("route_id % 2 = 0"), c.filter("route_id % 2 = 1"))
+    return out.select("od_id", "route_id", "origin", "candidate_index")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, keys
+from ..functions.sql import register_functions
 from ..operators import packs as pk
 from ..operators.spatial import nearest_segment
 from ..operators import paths, resample
 from ..operators.destinations import trim_to_road
 from ..sources import files
 from ..sources.redaction import redact_props, sanitize_json
+from ..session import shared_folder
 from . import sqltext as S
 from .registry import query, rounded
 from .views import cte, table, view
@@ -278,3 +280,34 @@ def a15(spark, sf):
     listed = t.filter("_k <> 1").withColumn("fingerprint", F.when((F.col("tx") * 3 + F.col("ty")) % 7 == 0, "g").otherwise("f"))
     inside = b.join(written.select("tx", "ty"), ["tx", "ty"], "left_semi")
     return pk.tile_quality(written, inside, listed).drop("tunnels", "terrain")
+
+
+@query("S17_staged_results", f"""{cte('fx_route_candidates')}
+SELECT route_id, CASE WHEN route_id%3=0 THEN 'refined' ELSE 'heuristic' END AS analysis_phase,
+ round(CASE WHEN route_id%3=0 THEN shade ELSE avg_glare END,9) AS score FROM fx_route_candidates""")
+def s17(spark, sf):
+    """Heuristic rows of all routes first, refined ones of every third later; refined ones are written twice."""
+    c = view(spark, sf, "fx_route_candidates")
+    at = shared_folder(spark, "staged")
+    files.write_phase(c.select("route_id", F.col("avg_glare").alias("score")), at, "heuristic")
+    refined = c.filter("route_id % 3 = 0").select("route_id", F.col("shade").alias("score"))
+    for batch_id in (0, 0, 1):
+        files.phase_sink(at, "refined")(refined, batch_id)
+    return rounded(files.latest_phase(spark, at), 9, "score").select("route_id", "analysis_phase", "score")
+
+
+@query("W11_sql_resample_route", f"""{VERTS}, q AS ({S.running()}), n AS (SELECT route_id, max(total_m) tm FROM q GROUP BY 1),
+p AS (SELECT route_id, tm, unnest(range(CAST(ceil(tm/60.0::DOUBLE) AS BIGINT))) k FROM n),
+h AS (SELECT route_id, k, seg_idx, k*60.0::DOUBLE t, lat1+(lat2-lat1)*((k*60.0::DOUBLE-start_m)/seg_m) lat, lng1+(lng2-lng1)*((k*60.0::DOUBLE-start_m)/seg_m) lng
+ FROM p JOIN q USING (route_id) WHERE end_m>k*60.0::DOUBLE QUALIFY row_number() OVER (PARTITION BY route_id, k ORDER BY seg_idx)=1),
+e AS (SELECT route_id, ceil(tm/60.0::DOUBLE) k, tm t, l.lat, l.lng FROM n JOIN (SELECT route_id, arg_max(lat,v_idx) lat, arg_max(lng,v_idx) lng FROM fx_route_vertices GROUP BY 1) l USING (route_id))
+SELECT route_id, CAST(k AS BIGINT) AS v_idx, round(t,3) AS target_m, round(lat,7) AS lat, round(lng,7) AS lng FROM (SELECT route_id, k, t, lat, lng FROM h UNION ALL SELECT * FROM e)""")
+def w11_sql(spark, sf):
+    """The table function, called from SQL for every route."""
+    register_functions(spark)
+    point = F.struct("v_idx", "lat", "lng")
+    v = view(spark, sf, "fx_route_vertices").groupBy("route_id").agg(F.sort_array(F.collect_list(point)).alias("p"))
+    v.select("route_id", F.transform("p", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("geometry")
+             ).createOrReplaceTempView("routes_for_sql")
+    out = spark.sql("SELECT route_id, r.* FROM routes_for_sql, LATERAL resample_route(geometry, 60.0D) r")
+    return rounded(rounded(out, 3, "target_m"), 7, "lat", "lng")

@@ -285,3 +285,28 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+# Phases of a result in the order in which they replace each other.
+PHASES = ("heuristic", "refined")
+
+
+def write_phase(rows: DataFrame, path: str, phase: str, batch: str = "0") -> None:
+    """Store results of one phase; writing the same batch again replaces it."""
+    if phase not in PHASES:
+        raise ValueError(f"unknown phase {phase}")
+    rows.write.mode("overwrite").parquet(f"{path}/analysis_phase={phase}/batch={batch}")
+
+
+def phase_sink(path: str, phase: str):
+    """A ``foreachBatch`` function that stores each micro-batch exactly once."""
+    return lambda rows, batch_id: write_phase(rows, path, phase, str(batch_id))
+
+
+def latest_phase(spark: SparkSession, path: str, key: str = "route_id") -> DataFrame:
+    """One row per key: of its latest phase, there of the latest batch."""
+    rows = spark.read.parquet(path)
+    rank = F.array_position(F.array(*map(F.lit, PHASES)), F.col("analysis_phase"))
+    names = [c for c in rows.columns if c not in (key, "batch")]
+    latest = F.max_by(F.struct(*names), F.struct(rank, F.col("batch").cast("long")))
+    return rows.groupBy(key).agg(latest.alias("_latest")).select(key, "_latest.*")

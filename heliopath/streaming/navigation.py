@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import along, angle_between, bearing_deg, distance_m, haversine_m, segment_fraction
 from ..operators.spatial import explode_geo_points, explode_geo_segments, nearest_segment
 from ..session import cut_lineage
+from .blocks import running, with_previous
 from .keyed import run_batch, run_stream
 from .steps import accept_fix, follow_route, raise_alerts, refresh_rules
 
@@ -16,6 +17,7 @@ ACCEPTED = ("reason string, accepted boolean, speed_kmh double, heading double,
 FOLLOWED = ("seg_idx long, seg_t double, snap_lat double, snap_lng double, snapped boolean, off_route_m double, "
             "event string")
 MATCH_M = 75.0
+ORDER = ["fix_ms", "fix_id"]
 
 
 def clean_fixes(fixes: DataFrame) -> DataFrame:
@@ -183,13 +185,12 @@ def limit_after_lookup(failed, limit) -> Column:
 
 def reported_or_implied_speed(fixes: DataFrame) -> DataFrame:
     """km/h against the previous row of the session, where none was reported."""
-    w = Window.partitionBy("session_id").orderBy("fix_ms", "fix_id")
-    prev = lambda c: F.lag(c).over(w)
-    seconds = (F.col("fix_ms") - prev("fix_ms")) / 1000.0
-    mps = distance_m(prev("lat"), prev("lng"), "lat", "lng") / seconds
+    rows = with_previous(fixes, ["fix_ms", "lat", "lng"], "session_id", ORDER)
+    seconds = (F.col("fix_ms") - F.col("prev_fix_ms")) / 1000.0
+    mps = distance_m("prev_lat", "prev_lng", "lat", "lng") / seconds
     implied = F.when((seconds > 0.5) & (mps < 50), mps * 3.6).otherwise(F.lit(0.0))
-    return fixes.withColumn("speed_kmh", F.when(F.col("reported_speed_kmh") >= 0, F.col("reported_speed_kmh"))
-                            .otherwise(F.coalesce(implied, F.lit(0.0))))
+    return rows.withColumn("speed_kmh", F.when(F.col("reported_speed_kmh") >= 0, F.col("reported_speed_kmh"))
+                           .otherwise(F.coalesce(implied, F.lit(0.0)))).drop("prev_fix_ms", "prev_lat", "prev_lng")
 
 
 def speed_for_display(kmh, unit) -> Column:
@@ -199,10 +200,8 @@ def speed_for_display(kmh, unit) -> Column:
 
 def speeding_episodes(fixes: DataFrame) -> DataFrame:
     """Contiguous runs over the limit: session_id, start_ms, end_ms, fixes, top."""
-    w = Window.partitionBy("session_id").orderBy("fix_ms", "fix_id")
     over = F.coalesce(F.col("speed_kmh") > F.col("speed_limit_kmh"), F.lit(False))
-    rows = fixes.withColumn("_over", over).withColumn("_run", F.sum(F.when(F.col("_over"), 0).otherwise(1)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(fixes.withColumn("_over", over), "_run", F.when(F.col("_over"), 0).otherwise(1), "sum", "session_id", ORDER)
     return rows.filter("_over").groupBy("session_id", "_run").agg(
         F.min("fix_ms").alias("start_ms"), F.max("fix_ms").alias("end_ms"), F.count(F.lit(1)).alias("fixes"),
         F.max("speed_kmh").alias("top_kmh")).drop("_run")
@@ -210,18 +209,17 @@ def speeding_episodes(fixes: DataFrame) -> DataFrame:
 
 def off_route_counts(fixes: DataFrame, limit_m: float = 45.0) -> DataFrame:
     """Number of consecutive fixes farther than 45 m from the route."""
-    w = Window.partitionBy("session_id").orderBy("fix_ms", "fix_id")
-    rows = fixes.withColumn("_off", (F.col("off_route_m") > limit_m).cast("int"))
-    rows = rows.withColumn("_run", F.sum(1 - F.col("_off")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy("session_id", "_run").orderBy("fix_ms", "fix_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("off_count", F.sum("_off").over(inner)).drop("_off", "_run")
+    rows = fixes.withColumn("_off", F.coalesce((F.col("off_route_m") > limit_m).cast("int"), F.lit(0)))
+    rows = running(rows, "_all", F.col("_off"), "sum", "session_id", ORDER)
+    # What had been counted when the route was last held; the count starts again from there.
+    rows = running(rows, "_held", F.when(F.col("_off") == 0, F.col("_all")), "last", "session_id", ORDER)
+    return rows.withColumn("off_count", F.col("_all") - F.coalesce("_held", F.lit(0))).drop("_off", "_all", "_held")
 
 
 def dark_state(readings: DataFrame, value: str, order: list[str], key: str = "session_id") -> DataFrame:
     """Dark below 30, bright above 80, unchanged in between; bright at first."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col(value) < 30, True).when(F.col(value) > 80, False)
-    return readings.withColumn("is_dark", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)))
+    return running(readings, "is_dark", mark, "last", key, order).withColumn("is_dark", F.coalesce("is_dark", F.lit(False)))
 
 
 def dark_theme(is_dark, in_tunnel, sun_altitude) -> Column:
