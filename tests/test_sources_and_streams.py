@@ -80,6 +80,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and len(want) > 100
 
 
+def test_late_rows_of_new_sessions_are_left_out(spark, tmp_path):
+    """Micro-batches: on time, then a fix an hour behind the watermark and one after thirteen silent hours."""
+    one = _fixes(spark).orderBy("fix_ms", "fix_id").first().asDict()
+    base = one["fix_ms"]
+    make = lambda **c: {**one, **c}
+    hour = 3_600_000
+    batches = [[make(fix_id=1, session_id=1, fix_ms=base)], [make(fix_id=2, session_id=1, fix_ms=base + 60_000)],
+               [make(fix_id=3, session_id=2, fix_ms=base - hour), make(fix_id=4, session_id=1, fix_ms=base + 120_000)],
+               [make(fix_id=5, session_id=3, fix_ms=base + 13 * hour)], [make(fix_id=6, session_id=3, fix_ms=base + 13 * hour + 60_000)],
+               [make(fix_id=7, session_id=1, fix_ms=base + 13 * hour + 120_000)]]
+    src = tmp_path / "fixes"
+    src.mkdir()
+    stream = nav.clean_fix_stream(spark.readStream.schema(files.GPS_FIX).option("maxFilesPerTrigger", 1).json(str(src)))
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, _fixes(spark).schema).coalesce(1).write.json(str(tmp_path / f"b{n}"))
+        import shutil
+
+        part = next((tmp_path / f"b{n}").glob("part-*.json"))
+        shutil.copy(part, src / f"{n}.json")
+    _drain(stream, "late")
+    got = {r["fix_id"]: r["reason"] for r in spark.table("late").collect()}
+    assert 3 not in got and set(got) == {1, 2, 4, 5, 6, 7}
+    assert got[7] == "FIRST_RELIABLE_FIX"  # the state of session 1 has gone
+
+
 def test_stream_lookups_once_per_cell(spark, tmp_path):
     src = str(tmp_path / "cells")
     spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "cell string, s int").withColumn(
