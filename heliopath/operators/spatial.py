@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, RAD, along, col, haversine_m, lng_scale, segment_fraction
@@ -99,37 +99,80 @@ def nearest_within(points: DataFrame, samples: DataFrame, max_m: float, point_id
     return _best_within(points, samples, max_m, point_id, keep or [], sample_id, by or [])
 
 
+BROADCAST_CELLS = 50_000
+
+
+def _occupied(samples: DataFrame, size: float, by: list[str], level: int) -> DataFrame:
+    """Grid cells of side size * 2^level that hold a sample."""
+    at = lambda c: F.shiftright(cell(c, size).cast("long"), level)
+    return samples.select(*by, at("x").alias("cx"), at("y").alias("cy")).distinct()
+
+
+def _far_best(points: DataFrame, samples: DataFrame, size: float, extent: tuple, point_id: str, keep: list[str],
+              sample_id: str, by: list[str]) -> DataFrame:
+    """Nearest samples of points that have none close by, down a pyramid of occupied cells.
+
+    A cell holds at least one sample, so the farthest corner of the best cell
+    bounds a point's distance, and cells whose nearest point lies beyond go.
+    A handful of cells per point survive at every level; only samples in the
+    last ones are compared. Upper levels have a known small number of cells.
+    """
+    min_x, max_x, min_y, max_y = extent
+    top = 0
+    while max(max_x - min_x, max_y - min_y) > size * 2**top:
+        top += 1
+    first = lambda v: int(v // size) >> top
+    roots = F.array(*[F.struct(F.lit(i).cast("long").alias("cx"), F.lit(j).cast("long").alias("cy"))
+                      for i in range(first(min_x), first(max_x) + 1) for j in range(first(min_y), first(max_y) + 1)])
+    here = points.select(point_id, *by, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    found = explode_cells(here, roots)
+    own = Window.partitionBy(point_id)
+    for level in range(top, -1, -1):
+        cells, side = _occupied(samples, size, by, level), size * 2**level
+        if not by and (2 ** (top - level) + 2) ** 2 <= BROADCAST_CELLS:
+            cells = F.broadcast(cells)
+        found = found.join(cells, [*by, "cx", "cy"])
+        away = lambda v, c: (F.greatest(F.lit(0.0), F.col(c) * side - F.col(v), F.col(v) - (F.col(c) + 1) * side),
+                             F.greatest(F.abs(F.col(c) * side - F.col(v)), F.abs(F.col(v) - (F.col(c) + 1) * side)))
+        (near_x, far_x), (near_y, far_y) = away("_x", "cx"), away("_y", "cy")
+        found = found.withColumn("_far", F.min(F.hypot(far_x, far_y)).over(own)).filter(
+            F.hypot(near_x, near_y) <= F.col("_far") + 1e-6).drop("_far")
+        if level % 4 == 0:
+            found = cut_lineage(found)
+        if level:
+            quarters = F.array(*[F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy"))
+                                 for i in (0, 1) for j in (0, 1)])
+            found = found.withColumn("_q", F.explode(quarters)).withColumns({"cx": F.col("_q.cx"), "cy": F.col("_q.cy")}).drop("_q")
+    at = samples.select(*by, sample_id, *[c for c in keep if c != sample_id], F.col("x").alias("_sx"), F.col("y").alias("_sy"),
+                        cell("x", size).cast("long").alias("cx"), cell("y", size).cast("long").alias("cy"))
+    pairs = found.join(at, [*by, "cx", "cy"]).withColumn(
+        "distance", F.hypot(F.col("_x") - F.col("_sx"), F.col("_y") - F.col("_sy")))
+    best = pairs.groupBy(point_id).agg(F.min_by(
+        F.struct(*[F.col(c) for c in dict.fromkeys([sample_id, *keep])], "distance"), F.struct("distance", sample_id)).alias("_best"))
+    return best.select(point_id, "_best.*")
+
+
 def nearest_any(points: DataFrame, samples: DataFrame, point_id: str = "point_id", sample_id: str = "sample_id",
                 keep: list[str] | None = None, by: list[str] | None = None, first_m: float = 200.0) -> DataFrame:
-    """Nearest sample at any distance, by growing rounds.
+    """Nearest sample at any distance; ties by sample id.
 
-    A round with radius r settles exactly the points with a sample within r, and
-    only the others go on with 8 r. Each round is checkpointed; rounds stop when
-    nothing is left or the radius covers the whole extent.
+    One round settles exactly the points with a sample within ``first_m``; the
+    others go down a pyramid of occupied cells. Runs jobs when called: it needs
+    the extent, and what is left is checkpointed.
     """
     keep, by = keep or [], by or []
-    ends = [F.max("x"), F.min("x"), F.max("y"), F.min("y")]
-    a, b = points.agg(*ends).first(), samples.agg(*ends).first()
+    ends = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
+    extent = samples.agg(*ends).first()
+    best = _best_within(points, samples, first_m, point_id, keep, sample_id, by)
+    if extent[0] is None:
+        return best
+    tagged = cut_lineage(points.join(best, point_id, "left"))
     names = list(dict.fromkeys([sample_id, *keep, "distance"]))
-    if a[0] is None or b[0] is None:
-        return _best_within(points, samples, first_m, point_id, keep, sample_id, by)
-    reach = ((max(a[0], b[0]) - min(a[1], b[1])) ** 2 + (max(a[2], b[2]) - min(a[3], b[3])) ** 2) ** 0.5
-    found, left, radius = [], points, first_m
-    while True:
-        best = _best_within(left, samples, radius, point_id, keep, sample_id, by)
-        done = radius > reach
-        if done and not found:
-            return best
-        if done:
-            found.append(best)
-            break
-        tagged = cut_lineage(left.join(best, point_id, "left"))
-        found.append(tagged.filter(F.col("distance").isNotNull()).select(point_id, *names))
-        left = tagged.filter(F.col("distance").isNull()).select(*points.columns)
-        if left.isEmpty():
-            break
-        radius *= 8
-    return reduce(DataFrame.unionByName, found)
+    found = tagged.filter(F.col("distance").isNotNull()).select(point_id, *names)
+    left = tagged.filter(F.col("distance").isNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(*points.columns)
+    if left.isEmpty():
+        return found
+    return found.unionByName(_far_best(left, samples, first_m, tuple(extent), point_id, keep, sample_id, by))
 
 
 def _plane(lat, lng, cos_min) -> tuple[Column, Column]:

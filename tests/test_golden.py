@@ -247,3 +247,20 @@ def test_tile_round_trip(spark):
     r = one(df.withColumn("tx", tx).withColumn("ty", ty).withColumn("b", F.struct(*[
         c.alias(n) for c, n in zip(geo.tile_bounds("tx", "ty"), "swne")])))
     assert r["b"]["s"] <= 42.3601 < r["b"]["n"] and r["b"]["w"] <= -71.0589 < r["b"]["e"]
+
+
+def test_nearest_at_any_distance_in_groups(spark):
+    """Far clusters, negative places, ties and a group without samples."""
+    rng = np.random.default_rng(3)
+    rows = [(g, i, float(x), float(y)) for g in (1, 2) for i, (x, y) in enumerate(
+        np.concatenate([rng.normal((-9000, 4000), 300, (60, 2)), rng.normal((50_000, -70_000), 2000, (60, 2)), [[0, 0], [0, 0]]]))]
+    samples = spark.createDataFrame(rows, "g long, sample_id long, x double, y double")
+    at = [(g, i, float(x), float(y)) for g in (1, 2, 3) for i, (x, y) in enumerate(rng.uniform(-100_000, 100_000, (80, 2)))]
+    points = spark.createDataFrame([(1000 * g + i, g, x, y) for g, i, x, y in at], "point_id long, g long, x double, y double")
+    got = {r.point_id: (r.sample_id, round(r.distance, 6)) for r in spatial.nearest_any(points, samples, by=["g"], first_m=150.0).collect()}
+    want = {}
+    for g, i, x, y in at:
+        if g < 3:
+            d, s = min((math.hypot(x - b[2], y - b[3]), b[1]) for b in rows if b[0] == g)
+            want[1000 * g + i] = (s, round(d, 6))
+    assert got == want
