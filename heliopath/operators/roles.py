@@ -116,7 +116,10 @@ def _shade_winner(pool: DataFrame) -> DataFrame:
 
 def select_roles(candidates: DataFrame) -> DataFrame:
     """fastest_route_id, glare_route_id and shade_route_id of every od."""
-    scored = tradeoffs(candidates)
+    return _roles_of(tradeoffs(candidates))
+
+
+def _roles_of(scored: DataFrame) -> DataFrame:
     others = scored.filter(~F.col("is_fastest"))
     base = scored.filter("is_fastest").select("od_id", F.col("route_id").alias("fastest_route_id"))
     out = base.join(_glare_winner(others.filter(meaningful_glare())), "od_id", "left").join(
@@ -132,8 +135,9 @@ def precision_shortlist(candidates: DataFrame, max_candidates: int = 5, preferre
     Order: preferred role, fastest, the other role, two by glare, two by shade
     promise. Row-number limits are applied before the shuffle by the planner.
     """
-    scored = tradeoffs(candidates)
-    roles = select_roles(candidates)
+    # Each is read several times below, so each is written once.
+    scored = cut_lineage(tradeoffs(candidates))
+    roles = cut_lineage(_roles_of(scored))
     top = lambda *order: F.row_number().over(Window.partitionBy("od_id").orderBy(*order)) <= 2
     glare2 = scored.filter(F.col("is_fastest") | meaningful_glare()).withColumn(
         "_n", F.row_number().over(Window.partitionBy("od_id").orderBy("avg_glare", "candidate_index"))).filter("_n <= 2")
