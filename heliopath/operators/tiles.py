@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, RAD, destination, project, tile_of
+from ..session import cut_lineage
+from ..streaming.blocks import running
+from .paths import BLOCK as BLOCK_ROWS
 from .paths import with_next
 
 RAY_M = 4500.0
@@ -113,6 +116,7 @@ def split_by_length(vertices: DataFrame, chunk_m: float = 5000.0) -> DataFrame:
     constant amount of memory. Routes too long for a scene are cut like any
     other; that they get none is said by the guard on their length.
     """
+    import numpy as np
     import pandas as pd
 
     pairs = with_next(vertices.select("route_id", "v_idx", "lat", "lng"), ["lat", "lng"])
@@ -122,43 +126,79 @@ def split_by_length(vertices: DataFrame, chunk_m: float = 5000.0) -> DataFrame:
         "route_id", "v_idx", haversine_m("lat", "lng", "lat_next", "lng_next").alias("m"))
 
     def cut(batches):
-        route, piece, run = None, 0, 0.0
+        route, piece, run = None, 0, 0.0  # of the route that goes on: its piece and the metres of it so far
         for pdf in batches:
-            pieces = []
-            for r, m in zip(pdf["route_id"].to_numpy(), pdf["m"].to_numpy()):
-                if r != route:
-                    route, piece, run = r, 0, 0.0
-                pieces.append(piece)
-                run += m
-                if run >= chunk_m:
-                    piece, run = piece + 1, 0.0
-            yield pd.DataFrame({"route_id": pdf["route_id"], "v_idx": pdf["v_idx"], "piece": pieces})
+            owner, metres = pdf["route_id"].to_numpy(), pdf["m"].to_numpy()
+            out = np.empty(len(owner), np.int64)
+            begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            for at, end in zip(begins, np.append(begins[1:], len(owner))):
+                if owner[at] != route:
+                    route, piece, run = owner[at], 0, 0.0
+                while at < end:
+                    # The piece ends with the segment that reaches its length; lengths add up anew from each cut.
+                    ahead = min(end, at + 1024)
+                    total = np.cumsum(np.concatenate([[run], metres[at:ahead]]))[1:]
+                    reached = int(np.argmax(total >= chunk_m)) if (total >= chunk_m).any() else -1
+                    stop = ahead if reached < 0 else at + reached + 1
+                    out[at:stop] = piece
+                    piece, run = (piece, total[-1]) if reached < 0 else (piece + 1, 0.0)
+                    at = stop
+            yield pd.DataFrame({"route_id": owner, "v_idx": pdf["v_idx"], "piece": out})
 
     ordered = rows.repartition("route_id").sortWithinPartitions("route_id", "v_idx")
     segments = ordered.mapInPandas(cut, "route_id long, v_idx long, piece long")
     return segments.withColumnRenamed("v_idx", "seg_idx")
 
 
+def _degree(column: str) -> Column:
+    return F.floor(column).cast("long")
+
+
 def region_runs(vertices: DataFrame, regions: DataFrame) -> DataFrame:
     """Contiguous vertex runs inside region boxes, one vertex wider on each side.
 
-    ``regions`` is a small dimension: region, south, west, north, east.
+    ``regions``: region, south, west, north, east. Boxes are listed by the whole
+    degrees they touch and vertices meet them there. Runs are numbered block by block.
     """
     n = vertices.groupBy("route_id").agg(F.max("v_idx").alias("_last"))
-    box = regions.select("region", "south", "west", "north", "east")
-    joined = vertices.join(F.broadcast(box), F.col("lat").between(F.col("south"), F.col("north"))
-                           & F.col("lng").between(F.col("west"), F.col("east")))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("route_id", "region").orderBy("v_idx")
-    runs = joined.select("route_id", "region", "v_idx", (F.col("v_idx") - F.row_number().over(w)).alias("_g"))
-    runs = runs.groupBy("route_id", "region", "_g").agg(F.min("v_idx").alias("_a"), F.max("v_idx").alias("_z"))
+    box = regions.select("region", "south", "west", "north", "east").withColumn(
+        "_y", F.explode(F.sequence(_degree("south"), _degree("north")))).withColumn(
+        "_x", F.explode(F.sequence(_degree("west"), _degree("east"))))
+    at = vertices.select("route_id", "v_idx", "lat", "lng", _degree("lat").alias("_y"), _degree("lng").alias("_x"))
+    joined = at.join(box, ["_y", "_x"]).filter(F.col("lat").between(F.col("south"), F.col("north"))
+                                               & F.col("lng").between(F.col("west"), F.col("east")))
+    joined = joined.select("route_id", "region", "v_idx", F.struct("route_id", "region").alias("_k"))
+    counted = running(joined, "_n", F.lit(1), "sum", "_k", ["v_idx"], BLOCK_ROWS)
+    runs = counted.groupBy("route_id", "region", (F.col("v_idx") - F.col("_n")).alias("_g")).agg(
+        F.min("v_idx").alias("_a"), F.max("v_idx").alias("_z"))
     runs = runs.join(n, "route_id").select(
         "route_id", "region", F.greatest(F.lit(0), F.col("_a") - 1).alias("run_start"),
         F.least(F.col("_last"), F.col("_z") + 1).alias("run_end"))
     return runs.filter("run_end > run_start")
 
 
+def nearest_by_index(segments: DataFrame, marks: DataFrame, carry: list[str], prefix: str) -> DataFrame:
+    """Add ``<prefix>_gap`` and the carried columns of the mark nearest by index, the earlier one on a tie.
+
+    ``segments`` has route_id and seg_idx, ``marks`` route_id and v_idx. The last
+    mark at or before each segment and the first behind it are found as running
+    values over both in order, so a route may have any number of either.
+    """
+    names = [c for c in segments.columns if c != "route_id"]
+    own = segments.select("route_id", F.col("seg_idx").alias("_i"), F.lit(1).alias("_s"), F.struct(*names).alias("_row"))
+    both = own.unionByName(marks.select("route_id", F.col("v_idx").alias("_i"), F.lit(0).alias("_s"),
+                                        F.struct("v_idx", *carry).alias("_mark")), allowMissingColumns=True)
+    both = cut_lineage(both)  # read several times by the running values
+    both = running(both, "_before", F.col("_mark"), "last", "route_id", ["_i", "_s"], BLOCK_ROWS).withColumn("_back", -F.col("_i"))
+    both = running(both, "_behind", F.col("_mark"), "last", "route_id", ["_back", "_s"], BLOCK_ROWS)
+    gap = lambda side: F.abs(F.col(f"{side}.v_idx") - F.col("_i"))
+    first = F.coalesce(gap("_before") <= gap("_behind"), F.col("_before").isNotNull())
+    near = F.when(first, F.col("_before")).otherwise(F.col("_behind"))
+    out = both.filter("_s = 1").withColumn("_near", near)
+    return out.select("route_id", "_row.*", F.abs(F.col("_near.v_idx") - F.col("_i")).alias(f"{prefix}_gap"),
+                      *[F.col(f"_near.{c}").alias(f"{prefix}_{c}") for c in carry])
+
+
 def segment_coverage(segments: DataFrame, loaded: DataFrame, profiles: DataFrame, buildings_near: DataFrame | None = None,
                      grid=DEFAULT_GRID, size_m: float = 5000.0) -> DataFrame:
     """Road tile, ray tile, terrain and ground coverage of each segment.
@@ -182,27 +222,23 @@ def segment_coverage(segments: DataFrame, loaded: DataFrame, profiles: DataFrame
     ray = ray.withColumn("tx", tx).withColumn("ty", ty).join(have, ["route_id", "tx", "ty"], "left")
     ray = ray.groupBy("route_id", "v_idx").agg(F.bool_and(F.coalesce("_have", F.lit(False))).alias("ray_tiles"))
     count = profiles.groupBy("route_id").agg(F.count(F.lit(1)).alias("n_profiles"))
-    # At most 24 profiles exist per route, so this array stays small.
-    table = ray.groupBy("route_id").agg(F.collect_list(F.struct("v_idx", "ray_tiles")).alias("_profiles"))
-    near = F.array_min(F.transform("_profiles", lambda p: F.struct(
-        F.abs(p["v_idx"] - F.col("seg_idx")).alias("gap"), p["v_idx"].alias("v_idx"), p["ray_tiles"].alias("ray_tiles"))))
-    out = road.join(count, "route_id", "left").join(table, "route_id", "left").withColumn("_near", near)
+    out = nearest_by_index(road, ray, ["ray_tiles"], "_near").join(count, "route_id", "left")
     spacing = (F.col("last_seg") + 2) / F.greatest(F.lit(1), F.coalesce("n_profiles", F.lit(0)) - 1)
-    ray_ok = F.coalesce(F.col("_near.ray_tiles"), F.lit(False))
-    close = F.coalesce(F.col("_near.gap") <= F.greatest(F.lit(2.0), spacing * 1.5), F.lit(False))
+    reach = F.greatest(F.lit(2.0), spacing * 1.5)
+    ray_ok = F.coalesce(F.col("_near_ray_tiles"), F.lit(False))
+    close = F.coalesce(F.col("_near_gap") <= reach, F.lit(False))
     out = out.select("route_id", "seg_idx", "tiles", ray_ok.alias("ray_tiles"),
                      (F.col("tiles") & ray_ok & close).alias("terrain"), (F.col("tiles") & ray_ok).alias("buildings"),
-                     spacing.alias("_spacing"))
+                     reach.alias("_reach"))
     if buildings_near is not None:
         # route_id, v_idx of profiles hit by a building without ground elevation
-        bad = buildings_near.groupBy("route_id").agg(F.collect_set("v_idx").alias("_bad"))
-        out = out.join(bad, "route_id", "left")
-        any_bad = F.exists(F.coalesce("_bad", F.array().cast("array<long>")), lambda v: F.abs(
-            v - F.col("seg_idx")) <= F.greatest(F.lit(2.0), F.col("_spacing") * 1.5))
-        out = out.withColumn("building_ground", F.col("buildings") & ~any_bad).drop("_bad")
+        bad = buildings_near.select("route_id", "v_idx").distinct()
+        out = nearest_by_index(out, bad, [], "_bad")
+        out = out.withColumn("building_ground", F.col("buildings") & ~F.coalesce(F.col("_bad_gap") <= F.col("_reach"), F.lit(False)))
+        out = out.drop("_bad_gap")
     else:
         out = out.withColumn("building_ground", F.col("buildings"))
-    return out.drop("_spacing").withColumn("tunnels", F.col("tiles"))
+    return out.drop("_reach").withColumn("tunnels", F.col("tiles"))
 
 
 def coverage_summary(coverage: DataFrame) -> DataFrame:

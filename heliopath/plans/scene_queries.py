@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, osm, solar
 from ..operators import occlusion, paths, tiles
-from ..operators.spatial import nearest_any, nearest_within
+from ..operators.spatial import nearest_any, nearest_within, settled
 from ..sources import scene_build as build
 from . import sqltext as S
 from .registry import query, rounded
@@ -406,7 +406,7 @@ SELECT building_id FROM fx_buildings, e WHERE sqrt(pow(greatest(cx-half_m-b,a-cx
 def p14(spark, sf):
     ends = view(spark, sf, "fx_ray_points").agg(F.struct(F.min("x").alias("a"), (F.max("x") * 0.2).alias("b"), F.min("y").alias("c"),
                                                          (F.max("y") * 0.2).alias("d")).alias("e")).scalar()
-    b = view(spark, sf, "fx_buildings").withColumn("_e", ends)
+    b = settled(view(spark, sf, "fx_buildings"), "_e", ends)  # one look-up of the row, not one per field
     b = occlusion.with_bounds(b.withColumn("polygon", occlusion.square("cx", "cy", "half_m")))
     gap = tiles.box_gap_m(("min_x", "max_x", "min_y", "max_y"), ("_e.a", "_e.b", "_e.c", "_e.d"))
     return b.filter(gap <= 2000).select("building_id")

@@ -1,7 +1,7 @@
-"""Running values of long sessions, worked out per session and day.
+"""Running values of long sessions or routes, worked out block by block.
 
 A window over a whole session would put a never-ending session into one task.
-Here each day of a session is a window of its own; one value per session and
+Here each day of a session (or block of another order) is a window of its own; one value per session and
 day is carried over to the later days in a second, small window.
 """
 
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 DAY_MS = 24 * 3600 * 1000
 
 
-def _dated(rows: DataFrame, at: str) -> DataFrame:
+def _dated(rows: DataFrame, at: str, block: int = DAY_MS) -> DataFrame:
     kind = dict(rows.dtypes)[at]
     ms = F.unix_millis(F.col(at).cast("timestamp")) if kind.startswith("timestamp") else F.col(at)
-    return rows.withColumn("_day", F.floor(ms / DAY_MS))
+    return rows.withColumn("_day", F.floor(ms / block))
 
 
 def _local(key: str, order: list[str]):
@@ -40,9 +40,12 @@ def with_previous(rows: DataFrame, names: list[str], key: str, order: list[str])
     return out.withColumns({f"prev_{n}": F.col(f"_prev.{n}") for n in names}).drop("_day", "_prev", "_carried")
 
 
-def running(rows: DataFrame, name: str, value: Column, how: str, key: str, order: list[str]) -> DataFrame:
-    """Add the running ``sum``, ``max`` or ``last`` non-null of ``value`` up to each row of the session."""
-    dated = _dated(rows, order[0]).withColumn("_value", value)
+def running(rows: DataFrame, name: str, value: Column, how: str, key: str, order: list[str], block: int = DAY_MS) -> DataFrame:
+    """Add the running ``sum``, ``max`` or ``last`` non-null of ``value`` up to each row of the session.
+
+    Blocks are ``block`` wide in the first order column.
+    """
+    dated = _dated(rows, order[0], block).withColumn("_value", value)
     local = _local(key, order).rowsBetween(Window.unboundedPreceding, 0)
     if how == "last":
         mark = F.when(F.col("_value").isNotNull(), F.struct(*order))

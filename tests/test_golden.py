@@ -264,3 +264,36 @@ def test_nearest_at_any_distance_in_groups(spark):
             d, s = min((math.hypot(x - b[2], y - b[3]), b[1]) for b in rows if b[0] == g)
             want[1000 * g + i] = (s, round(d, 6))
     assert got == want
+
+
+def test_nearest_marks_by_index(spark):
+    from heliopath.operators import tiles
+
+    rng = np.random.default_rng(5)
+    marks = {(r, int(v)) for r in (1, 2) for v in rng.integers(0, 20_000, 40)}
+    segments = [(r, int(i)) for r in (1, 2, 3) for i in rng.integers(0, 20_000, 60)] + [(1, next(iter(marks))[1])]
+    got = tiles.nearest_by_index(
+        spark.createDataFrame([(r, i, n) for n, (r, i) in enumerate(segments)], "route_id long, seg_idx long, n long"),
+        spark.createDataFrame([(r, v, v * 10) for r, v in marks], "route_id long, v_idx long, w long"), ["w"], "near").collect()
+    assert len(got) == len(segments)
+    for row in got:
+        own = sorted((abs(v - row.seg_idx), v) for r, v in marks if r == row.route_id)
+        assert (row.near_gap, row.near_w) == ((own[0][0], own[0][1] * 10) if own else (None, None))
+
+
+def test_pieces_of_a_long_route(spark):
+    """A running total that begins anew at each cut, over several thousand vertices and an uneven step."""
+    from heliopath.operators import tiles
+
+    rng = np.random.default_rng(6)
+    lng = np.cumsum(rng.choice([0.00001, 0.0005, 0.03], 5000, p=[0.7, 0.29, 0.01]))
+    v = spark.createDataFrame([(7, i, 10.0, float(x)) for i, x in enumerate(lng)] + [(8, 0, 1.0, 1.0), (8, 1, 1.0, 1.2)],
+                              "route_id long, v_idx long, lat double, lng double")
+    got = {(r.route_id, r.seg_idx): r.piece for r in tiles.split_by_length(v, 5000.0).collect()}
+    piece, run = 0, 0.0
+    for r in sorted(paths.route_segments(v).filter("route_id = 7").collect(), key=lambda r: r.seg_idx):
+        assert got[7, r.seg_idx] == piece
+        run += r.seg_m
+        if run >= 5000.0:
+            piece, run = piece + 1, 0.0
+    assert piece > 10 and got[8, 0] == 0
