@@ -182,7 +182,7 @@ def f29(spark, sf):
 
 
 @query("F31_day_times", f"""{BOTH},
-v AS (SELECT route_id, lat, lng, CAST(floor(start_ms/86400000.0::DOUBLE) AS BIGINT) dd FROM fx_route_vertices JOIN fx_routes USING (route_id) WHERE v_idx=0),
+v AS (SELECT route_id, v_idx, lat, lng, CAST(floor(start_ms/86400000.0::DOUBLE) AS BIGINT) dd FROM fx_route_vertices JOIN fx_routes USING (route_id)),
 a AS (SELECT *, radians(floor(lat*100+0.5)/100) phi, -radians(floor(lng*100+0.5)/100) lw, dd*86400000 mid FROM v),
 b AS (SELECT *, floor((mid+43200000)/86400000.0::DOUBLE-0.5+2440588-2451545-0.0009-lw/(2*pi())+0.5) n FROM a),
 c AS (SELECT *, 0.0009+lw/(2*pi())+n ds FROM b), d AS (SELECT *, radians(357.5291::DOUBLE+0.98560028::DOUBLE*ds) m FROM c),
@@ -190,12 +190,12 @@ e AS (SELECT *, m+radians(1.9148*sin(m)+0.02*sin(2*m)+0.0003*sin(3*m))+radians(1
 f AS (SELECT *, asin(sin(radians(23.4397))*sin(l)) de, 2451545.0::DOUBLE+ds+0.0053*sin(m)-0.0069*sin(2*l) nj FROM e),
 g AS (SELECT *, (sin(radians(-0.833))-sin(phi)*sin(de))/(cos(phi)*cos(de)) cw FROM f),
 h AS (SELECT *, CASE WHEN abs(cw)<=1 THEN 2451545.0::DOUBLE+0.0009+(acos(greatest(-1,least(1,cw)))+lw)/(2*pi())+n+0.0053*sin(m)-0.0069*sin(2*l) END sj FROM g)
-SELECT route_id, CAST(CASE WHEN sj IS NULL THEN mid+21600000 ELSE floor((2*nj-sj+0.5-2440588)*86400000.0/60000+0.5)*60000 END AS BIGINT) AS sunrise_ms,
+SELECT route_id, v_idx, CAST(CASE WHEN sj IS NULL THEN mid+21600000 ELSE floor((2*nj-sj+0.5-2440588)*86400000.0/60000+0.5)*60000 END AS BIGINT) AS sunrise_ms,
  CAST(CASE WHEN sj IS NULL THEN floor((nj+0.5-2440588)*86400000.0) ELSE floor((nj+0.5-2440588)*86400000.0/60000+0.5)*60000 END AS BIGINT) AS noon_ms,
  CAST(CASE WHEN sj IS NULL THEN mid+70200000 ELSE floor((sj+0.5-2440588)*86400000.0/60000+0.5)*60000 END AS BIGINT) AS sunset_ms FROM h""")
 def f31(spark, sf):
-    v = _verts(spark, sf).filter("v_idx = 0").join(routes(spark, sf), "route_id").withColumn("day", solar.utc_date("start_ms"))
-    return solar.with_day_times(v, "day", "lat", "lng").select("route_id", "sunrise_ms", "noon_ms", "sunset_ms")
+    v = _verts(spark, sf).join(routes(spark, sf), "route_id").withColumn("day", solar.utc_date("start_ms"))
+    return solar.with_day_times(v, "day", "lat", "lng").select("route_id", "v_idx", "sunrise_ms", "noon_ms", "sunset_ms")
 
 
 LAT2, LNG2 = S.dest("lat", "lng", "brg", "m")
@@ -383,9 +383,9 @@ def d1(spark, sf):
 
 @query("D2_spa_day_times")
 def d2(spark, sf):
-    v = _verts(spark, sf).filter("v_idx = 0").join(routes(spark, sf), "route_id").withColumn("day", solar.utc_date("start_ms"))
+    v = _verts(spark, sf).join(routes(spark, sf), "route_id").withColumn("day", solar.utc_date("start_ms"))
     return rounded(with_spa_day_times(v, "day", "lat", "lng"), 5, "transit_hour", "sunrise_hour", "sunset_hour").select(
-        "route_id", "transit_hour", "sunrise_hour", "sunset_hour")
+        "route_id", "v_idx", "transit_hour", "sunrise_hour", "sunset_hour")
 
 
 @query("A1_spa_route_analysis")
