@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliopath.llm.covering import representatives
 from heliopath.llm.mixing import mixed
+from heliopath.llm.near_copies import without_near_copies
 from heliopath.llm.queries import vocabulary
 from heliopath.llm.resampling import resample
 from heliopath.llm.spaced_seeds import without_leaks
@@ -31,8 +31,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the least id."""
-    return representatives(docs)
+    """One document of each group linked by a five-word Jaccard similarity of 0.8 and more: the one with the least id."""
+    return without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
