@@ -128,3 +128,32 @@ def test_no_labels_and_no_rows(spark):
     none = labels.limit(0)
     assert [r.selected for r in resampling.resample(some, none, ["doc_id"]).collect()] == [True, True]
     assert resampling.resample(documents(spark, []), labels, ["doc_id"]).count() == 0
+
+
+def test_words_that_clean_texts_never_have_weigh_down(spark):
+    """A few rude words in good long texts of many rare words: most of these rows go, clean ones stay."""
+    rng, rows, labels = random.Random(9), [], []
+    for i in range(3000):
+        own = [rng.choice(GOOD) if rng.random() < 0.8 else f"r{rng.randrange(40_000)}" for _ in range(rng.choice([60, 200, 600]))]
+        toxic = rng.random() < 0.1
+        for _ in range(3 * toxic):
+            own[rng.randrange(len(own))] = rng.choice(["rude", "vile", "nasty"])
+        rows.append((i, " ".join(own), "en", "s"))
+        if rng.random() < 0.4:
+            labels.append((i, 1, int(toxic)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.selected for r in resampling.resample(documents(spark, rows), table, ["doc_id"]).collect()}
+    toxic, clean = ([got[i] for i, _, t in labels if t == k] for k in (1, 0))
+    assert sum(toxic) < 0.1 * len(toxic) and sum(clean) > 0.99 * len(clean)
+
+
+def test_toxic_rows_go_on_the_test_table(spark):
+    """Of labelled rows of good quality most toxic ones go, and under 1 % of the clean ones."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    held = {r.doc_id for r in resampling.resample(docs, labels, ["doc_id"]).filter("selected").collect()}
+    known = [(r.doc_id, r.toxic) for r in labels.filter("quality = 1").collect()]
+    toxic, clean = ([i in held for i, t in known if t == k] for k in (1, 0))
+    share = lambda x: sum(x) / len(x)
+    print(f"kept: toxic {sum(toxic)} of {len(toxic)}, clean {sum(clean)} of {len(clean)}")
+    assert share(toxic) < 0.4 and share(clean) > 0.99
