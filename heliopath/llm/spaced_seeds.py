@@ -7,7 +7,13 @@ document are hashed the same way and looked up. Around each hit the item is
 laid over the document, word against word, and the stretch with the best score
 (a match counts 1, a substitution -4, so at least four fifths of its words
 agree) decides: an item leaks if the stretch has ``least_words`` words and
-``share`` of the item at least.
+``share`` of the item at least. It also leaks if the whole item lies over the
+document and four fifths of its words agree, however short it is and wherever the
+others stand. An item that the document's border cuts has its best stretch only.
+
+In short items the other words can stand so that no mask hits. Items of 5 to 19 words are also hashed
+whole, without the words of each such way to have four fifths; documents are looked up
+under these masks only if the block has items of that length.
 
 The benchmark is worked off in blocks of ``block_words`` words, each small
 enough to send to every task, so any size of benchmark is covered; documents
@@ -19,6 +25,7 @@ null and empty documents neither. Equal items are each reported.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,9 +56,23 @@ class WordHashes:
         return [self.known[n] for n in numbers]
 
 
+def _missed(n: int) -> list[str]:
+    """Whole-length masks for the ways to have four fifths of n words that no mask of MASKS hits."""
+    ways = (set(holes) for holes in combinations(range(n), n // 5))
+    hit = lambda holes: any(all(m == "0" or at + k not in holes for k, m in enumerate(mask))
+                            for mask in MASKS for at in range(n - len(mask) + 1))
+    return ["".join("0" if k in holes else "1" for k in range(n)) for holes in ways if not hit(holes)]
+
+
+EXTRA = [mask for n in range(5, 20) for mask in _missed(n)]
+SHAPES = (*MASKS, *EXTRA)
+#: Mask number -> the item length it is for.
+SHORT = {len(MASKS) + at: len(mask) for at, mask in enumerate(EXTRA)}
+
+
 def seed_hashes(words: np.ndarray, mask: int) -> np.ndarray:
     """Hash of every window under a mask; empty if the text is shorter than the mask."""
-    shape = MASKS[mask]
+    shape = SHAPES[mask]
     n = len(words) - len(shape) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -69,8 +90,12 @@ class SeedTable:
         self.ids = [i for i, _ in items]
         self.words = WordHashes().of([t for _, t in items])
         hashes, owner, place = [], [], []
+        lengths = {len(w) for w in self.words}
+        self.masks = [m for m in range(len(SHAPES)) if m not in SHORT or SHORT[m] in lengths]
         for k, words in enumerate(self.words):
-            for mask in range(len(MASKS)):
+            for mask in self.masks:
+                if SHORT.get(mask, len(words)) != len(words):
+                    continue
                 h = seed_hashes(words, mask)
                 hashes.append(h)
                 owner.append(np.full(len(h), k))
@@ -86,7 +111,7 @@ class SeedTable:
     def diagonals(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item, offset of the item's first word in the document) of all hits."""
         found = set()
-        for mask in range(len(MASKS)):
+        for mask in self.masks:
             h = seed_hashes(words, mask)
             maybe = np.flatnonzero(self.bits[h >> np.uint64(44)])
             if len(maybe):
@@ -109,8 +134,12 @@ class SeedTable:
             begin = int(np.argmin(score[:end + 1]))
             equal = int(same[begin:end].sum())
             found = (low + shift + begin, low + begin, end - begin, equal)
-            if end - begin >= max(least_words, share * len(own)) and (
-                    item not in best or (equal, -found[0]) > (best[item][3], -best[item][0])):
+            passes = end - begin >= max(least_words, share * len(own))
+            if not passes:
+                equal = int(same.sum())
+                found = (low + shift, low, high - low, equal)
+                passes = high - low == len(own) and 5 * equal >= 4 * len(own)
+            if passes and (item not in best or (equal, -found[0]) > (best[item][3], -best[item][0])):
                 best[item] = found
         return best
 

@@ -84,3 +84,30 @@ def test_empty_tables(spark):
     assert leaks(docs, none).count() == 0 and without_leaks(docs, none).count() == 1
     assert leaks(documents(spark, []), some).count() == 0
     assert leaks(docs, some).count() == 1 and without_leaks(docs, some).count() == 0
+
+
+def test_short_items_and_regular_substitutions_leak(spark):
+    """Items of 5 to 10 words, whole or with any one word replaced, and longer ones with every fifth word replaced."""
+    rng = random.Random(5)
+    items, docs, want = [], [], set()
+    for n in range(5, 11):
+        own = [f"s{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        holes = [None, *range(n)]
+        for hole in holes:
+            changed = ["other" if k == hole else w for k, w in enumerate(own)]
+            want.add((len(docs), n))
+            docs.append((len(docs), " ".join([*rng.choices(WORDS, k=9), *changed, *rng.choices(WORDS, k=9)])))
+        docs.append((len(docs), " ".join([*rng.choices(WORDS, k=9), *own[:n // 2], "x", "y", "z", *rng.choices(WORDS, k=9)])))
+    for n in (15, 20, 40, 61):
+        own = [f"l{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        want.add((len(docs), n))
+        docs.append((len(docs), " ".join([*rng.choices(WORDS, k=9), *("other" if k % 5 == 4 else w for k, w in enumerate(own)), "end"])))
+        if n > 15:
+            docs.append((len(docs), " ".join(["begin", *("other" if k % 4 == 3 else w for k, w in enumerate(own)), "end"])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = leaks(documents(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert all(5 * r.equal >= 4 * r.overlap for r in got)
+    assert {r.doc_id for r in without_leaks(documents(spark, docs), bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
