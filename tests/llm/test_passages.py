@@ -147,3 +147,17 @@ def test_the_right_template_saves_most():
 def test_long_sentences_are_cut_not_dropped():
     text = "word " * 5000 + TEMPLATES["BSD (redistribution)"]
     assert any("redistribution and use" in b.lower() for _, b in candidate_blocks(text))
+
+
+def test_parts_of_a_chain_are_passages(spark):
+    """A shared passage next to a shorter or equal one behind 30 or 35 other words is reported by itself."""
+    rng = random.Random(12)
+    p, q, r = (rng.choices(WORDS, k=k) for k in (60, 20, 60))
+    for second, gap, want in ((q, 30, 1), (r, 35, 2)):
+        rows = []
+        for i in range(2):
+            other = [f"o{i}x{k}" for k in range(gap)]
+            rows.append((i, " ".join([f"b{i}", *p, *other, *second, f"e{i}"])))
+        got = repeated_passages(documents(spark, rows)).collect()
+        assert len(got) == want and all(x.words == x.equal == 60 for x in got)
+        assert {x.begin for x in got} == ({1} if want == 1 else {1, 61 + gap})
