@@ -8,6 +8,12 @@ whose wording agrees in four fifths of the words wins: ``exact`` if nothing
 differs, ``modified`` with the differing words otherwise. A block without such
 a template is no finding.
 
+Notices are often wrapped at a line's end or commented out, and some of their
+lines have no cue. So every template is also laid over all words near a cue,
+as far as the longest template reaches on both sides and whatever breaks or marks lie between; where four
+fifths of its words can be, the stretch that agrees best is a block of its own. It takes
+the place of findings that it overlaps if it explains more words than they do.
+
 One pass without a shuffle; equal blocks are compared once per task. A null
 or empty text has no block. Long texts are read whole: a sentence of more than
 ``PIECE`` characters is cut into pieces at blanks, and each piece is a sentence.
@@ -17,6 +23,8 @@ Repeated rows are reported each.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -51,10 +59,13 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights.",
     "All rights reserved": "Copyright. All rights reserved.",
 }
-CUE = re.compile(r"licen[cs]|copyright|redistribut|warrant|permission is|free software|public domain|rights reserved", re.I).search
+CUES = re.compile(r"licen[cs]|copyright|redistribut|warrant|permission\s+is|free\s+software|public\s+domain|rights\s+reserved", re.I)
+CUE = CUES.search
+CUE_WORDS = ("licen", "copyright", "redistribut", "warrant", "permission", "free", "public", "reserved")
 CUE_STEMS = ("licen", "copyright", "redistribut", "warrant", "permission is", "free software", "public domain", "rights reserved")
 SENTENCES = re.compile(r"[^\n]*?[.!?:](?=\s+[^\s\d]|\s*$)|[^\n]+").finditer
-WORDS = re.compile(r"\w+(?:[.\-+/]\w+)*").findall
+WORD = re.compile(r"\w+(?:[.\-+/]\w+)*")
+WORDS = WORD.findall
 PIECE, GAP, BEST = 2_000, 1, 3
 
 
@@ -100,8 +111,10 @@ class Scanner:
         options = {"level": 9, "write_content_size": False}
         self.plain = zstandard.ZstdCompressor(**options)
         self.given = {n: zstandard.ZstdCompressor(dict_data=as_dict(" ".join(self.words[n])), **options) for n in self.names}
+        self.longest = max(map(len, self.words.values()), default=0)
         self.frame = len(self.plain.compress(b""))
         self.seen: dict[str, list] = {}
+        self.laid: dict[str, list] = {}
 
     @staticmethod
     def normal(text: str) -> list[str]:
@@ -142,6 +155,66 @@ class Scanner:
             self.seen[block] = whole if words(whole) >= words(single) else single
         return self.seen[block]
 
+    def _best_stretch(self, template: list[str], words: list[str]) -> tuple[int, int]:
+        """Where in ``words`` the template agrees best: 1 an equal word, -1 a differing one."""
+        best, score, begin, span = 0, 0, 0, (0, 0)
+        for kind, a, b, c, d in SequenceMatcher(None, template, words, autojunk=False).get_opcodes():
+            if score <= 0:
+                score, begin = 0, c
+            score += b - a if kind == "equal" else -max(b - a, d - c)
+            if score > best:
+                best, span = score, (begin, d)
+        return span
+
+    def _wrapped(self, words: list[str]) -> list[tuple]:
+        """(first word, end, found) of notices among the words, wherever lines and sentences end."""
+        out, counts = [], Counter(words)
+        for name in self.names:
+            template = self.words[name]
+            there = sum(min(n, counts[w]) for w, n in Counter(template).items())
+            waiting = [(0, len(words))] if 10 * there >= 8 * len(template) else []
+            while waiting:
+                low, high = waiting.pop()
+                begin, end = (low + at for at in self._best_stretch(template, words[low:high]))
+                if 10 * (end - begin) < 8 * len(template):
+                    continue
+                found = self._confirm(words[begin:end])
+                if found:
+                    out.append((begin, end, found))
+                waiting += [(low, begin), (end, high)]
+        return out
+
+    def notices(self, text: str) -> list[tuple]:
+        """What ``findings`` gives for all blocks and for the words near cues, offsets in the text."""
+        base = [(at + a, *rest) for at, block in candidate_blocks(text) for a, *rest in self.findings(block)]
+        low = text.lower()
+        if not any(stem in low for stem in CUE_WORDS):
+            return base
+        places = [m.span() for m in WORD.finditer(text)]
+        begins, reach, windows = [a for a, _ in places], 2 * self.longest, []
+        for cue in CUES.finditer(text):
+            at = bisect_right(begins, cue.start())
+            if windows and at - reach <= windows[-1][1]:
+                windows[-1][1] = at + reach
+            else:
+                windows.append([max(0, at - reach), at + reach])
+        more = []
+        for first, last in windows:
+            own = [text[a:b].lower() for a, b in places[first:last]]
+            key = " ".join(own)
+            if key not in self.laid:
+                if len(self.laid) > 2_000:
+                    self.laid.clear()
+                self.laid[key] = self._wrapped(own)
+            for a, b, found in self.laid[key]:
+                begin = places[first + a][0]
+                more.append((begin, places[first + b - 1][1] - begin, *found))
+        for new in sorted(more, key=lambda f: (-f[5], len(f[6]) + len(f[7]), f[0])):
+            over = [f for f in base if f[0] < new[0] + new[1] and new[0] < f[0] + f[1]]
+            if new[5] > sum(f[5] for f in over):
+                base = [f for f in base if f not in over] + [new]
+        return sorted(base, key=lambda f: f[:3])
+
 
 @lru_cache(maxsize=2)
 def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
@@ -166,11 +239,10 @@ def license_findings(docs: DataFrame, templates: dict[str, str] | None = None, i
             for part in parts_of(batch):
                 out = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for at, block in candidate_blocks(text or ""):
-                        for begin, size, name, rank, saved, equal, missing, added in scanner.findings(block):
-                            verdict = "modified" if missing or added else "exact"
-                            out.append((doc_id, at + begin, size, name, verdict, rank, saved, equal, missing, added,
-                                        block[begin:begin + size]))
+                    for begin, size, name, rank, saved, equal, missing, added in scanner.notices(text or ""):
+                        verdict = "modified" if missing or added else "exact"
+                        out.append((doc_id, begin, size, name, verdict, rank, saved, equal, missing, added,
+                                    text[begin:begin + size]))
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64(), pa.int64()] + [
                     pa.list_(pa.string())] * 2 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)

@@ -1,4 +1,5 @@
 import random
+import textwrap
 from difflib import SequenceMatcher
 
 from heliopath.llm import chaining
@@ -161,3 +162,21 @@ def test_parts_of_a_chain_are_passages(spark):
         got = repeated_passages(documents(spark, rows)).collect()
         assert len(got) == want and all(x.words == x.equal == 60 for x in got)
         assert {x.begin for x in got} == ({1} if want == 1 else {1, 61 + gap})
+
+
+def test_wrapped_and_commented_notices_are_found(spark):
+    names = ["MIT (permission)", "BSD (redistribution)", "GPL-3.0 (notice)", "Apache-2.0 (notice)", "MPL-2.0"]
+    prose, rows, want = "Some thing of other words stands here, and more of it.", [], []
+    for name in names:
+        for width in (40, 72):
+            for mark in ("", " * ", "# ", "// "):
+                lines = textwrap.wrap(TEMPLATES[name], width, break_on_hyphens=False, break_long_words=False)
+                want.append((len(rows), name, "exact"))
+                rows.append((len(rows), "\n".join([prose, "", *(mark + x for x in lines), "", prose])))
+    both = [*textwrap.wrap(TEMPLATES["MIT (permission)"], 60), "", *textwrap.wrap(TEMPLATES["BSD (redistribution)"], 60)]
+    want += [(len(rows), names[0], "exact"), (len(rows), names[1], "exact")]
+    rows.append((len(rows), "\n".join(both)))
+    got = license_findings(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.license, r.verdict) for r in got) == sorted(want)
+    for r in got:
+        assert rows[r.doc_id][1][r.begin:r.begin + r.length] == r.wording
