@@ -162,3 +162,70 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT EN
        sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest, text_of
+
+    drawn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 0
+    tampered = {"n_chars": F.when(drawn, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    made = manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", tampered)
+    hexed = {name: text_of(F.col(name)) for name in ("leaf", "subroot", "root")}
+    return made.select(F.col("id").alias("doc_id"), *[c.alias(n) for n, c in hexed.items()],
+                       F.sha2(text_of(F.col("proof")), 256).alias("proof_sha256"), text_of(F.col("folded")).alias("folded_root"),
+                       "verified")
+
+
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars, coalesce(doc_id::VARCHAR, '') AS digits,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+c AS (
+  SELECT *, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS own,
+         coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS other,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(digits) + 1),
+               lambda i: list_prepend(ascii(digits[i])::BIGINT, [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+             lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS crc
+  FROM d),
+h AS (
+  SELECT doc_id, lang, sha256(head || own || tail) AS leaf,
+         sha256(head || CASE WHEN crc % 7 = 0 THEN other ELSE own END || tail) AS start FROM c),
+l AS (
+  SELECT doc_id, leaf, start, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM h),
+n AS (
+  SELECT tree, 0 AS lev, idx, leaf AS hash, count(*) OVER (PARTITION BY tree) AS size FROM l
+  UNION ALL
+  SELECT tree, lev + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (any_value(size) + 1) // 2
+  FROM n WHERE size > 1 GROUP BY tree, lev, idx // 2),
+s AS (SELECT tree, lev, hash AS subroot FROM n WHERE size = 1),
+m AS (
+  SELECT 0 AS lev, tree AS idx, subroot AS hash, count(*) OVER () AS size FROM s
+  UNION ALL
+  SELECT lev + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (any_value(size) + 1) // 2
+  FROM m WHERE size > 1 GROUP BY lev, idx // 2),
+climb AS (
+  SELECT doc_id, leaf, tree, idx AS place, 0 AS lev, start AS folded, '' AS proof, false AS top FROM l
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.tree, CASE WHEN o.hash IS NULL THEN c.tree ELSE c.place // 2 END,
+         CASE WHEN o.hash IS NULL THEN 0 ELSE c.lev + 1 END,
+         CASE WHEN o.hash IS NULL THEN c.folded WHEN c.place % 2 = 0 THEN sha256(c.folded || coalesce(b.hash, ''))
+              ELSE sha256(b.hash || c.folded) END,
+         c.proof || CASE WHEN o.hash IS NULL THEN '' ELSE coalesce(b.hash, '') END, o.hash IS NULL
+  FROM climb c LEFT JOIN n o ON o.tree = c.tree AND o.lev = c.lev AND o.idx = c.place AND o.size > 1
+       LEFT JOIN n b ON b.tree = c.tree AND b.lev = c.lev AND b.idx = xor(c.place, 1)
+  WHERE NOT c.top),
+up AS (
+  SELECT doc_id, leaf, tree, place, lev, folded, proof FROM climb WHERE top
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.tree, c.place // 2, c.lev + 1,
+         CASE WHEN c.place % 2 = 0 THEN sha256(c.folded || coalesce(b.hash, '')) ELSE sha256(b.hash || c.folded) END,
+         c.proof || coalesce(b.hash, '')
+  FROM up c JOIN m o ON o.lev = c.lev AND o.idx = c.place AND o.size > 1
+       LEFT JOIN m b ON b.lev = c.lev AND b.idx = xor(c.place, 1))
+SELECT doc_id, leaf, subroot, r.hash AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.hash AS verified
+FROM up JOIN s USING (tree) JOIN m r ON r.size = 1 AND r.lev = up.lev
+"""
