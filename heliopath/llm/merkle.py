@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .tables import stored
 
 STRIDE = 10
+SALTS = 64  # rows that stand on one upper node are joined in so many parts
 
 
 def digest(*parts: Column) -> Column:
@@ -128,25 +129,31 @@ def _grown(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Over leaves (tree, idx, h): node rows (node, parent, rungs), the subroots (tree, h) and the root (h).
+    """Over leaves (tree, idx, h): node rows (node, salt, parent, rungs), the subroots (tree, h) and the root (h).
 
-    Tree 0 is the one over the subroots.
+    Tree 0 is the one over the subroots. The leaves' rows have salt 0; all
+    above them stand there once for each salt, so that no step of a climb joins
+    a whole tree's rows on one key.
     """
     rows, subroots = _grown(leaves)
     subroots = stored(subroots)
     top, root = _grown(subroots.select(F.lit(0).alias("tree"), (F.col("tree") - 1).cast("long").alias("idx"), "h"))
     linked = rows.withColumn("parent", F.coalesce("parent", node_id(0, F.lit(0), F.col("tree") - 1)))
-    return stored(linked.union(top).select("node", "parent", "rungs")), subroots, root.select("h")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    all_rows = linked.select("node", "parent", "rungs", (F.col("node") < 1 << 60).alias("low")).union(
+        top.select("node", "parent", "rungs", F.lit(False)))
+    dealt = all_rows.withColumn("salt", F.explode(F.when(F.col("low"), F.array(F.lit(0))).otherwise(salts)).cast("long"))
+    return stored(dealt.select("node", "salt", "parent", "rungs")), subroots, root.select("h")
 
 
 CLIMB = """
-WITH RECURSIVE climb(leaf, node, folded, proof) AS (
-  SELECT leaf, leaf, start, X'' FROM {starts}
+WITH RECURSIVE climb(leaf, node, salt, folded, proof) AS (
+  SELECT leaf, leaf, 0L, start, X'' FROM {starts}
   UNION ALL
-  SELECT c.leaf, n.parent,
+  SELECT c.leaf, n.parent, c.leaf % {salts},
          aggregate(n.rungs, c.folded, (made, r) -> unhex(sha2(lower(hex(concat(r.left, made, r.right))), 256))),
          aggregate(n.rungs, c.proof, (made, r) -> concat(made, r.left, r.right))
-  FROM climb c JOIN {nodes} n ON c.node = n.node)
+  FROM climb c JOIN {nodes} n ON c.node = n.node AND c.salt = n.salt)
 SELECT leaf, folded, proof FROM climb WHERE node IS NULL
 """
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
@@ -163,7 +170,7 @@ def ascended(starts: DataFrame, nodes: DataFrame) -> DataFrame:
     before = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
-        return stored(spark.sql(CLIMB.format(starts="merkle_starts", nodes="merkle_nodes")))
+        return stored(spark.sql(CLIMB.format(starts="merkle_starts", nodes="merkle_nodes", salts=SALTS)))
     finally:
         spark.conf.set(ROW_LIMIT, before)
         spark.catalog.dropTempView("merkle_starts")

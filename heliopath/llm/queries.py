@@ -229,3 +229,33 @@ up AS (
 SELECT doc_id, leaf, subroot, r.hash AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.hash AS verified
 FROM up JOIN s USING (tree) JOIN m r ON r.size = 1 AND r.lev = up.lev
 """
+
+
+@query
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import cut_texts, text_key
+
+    docs = table(spark, sf_dir, "documents")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
+    told = cut_texts(docs).select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                                  F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", text_key().alias("key")).join(told, "key").drop("key")
+
+
+ORACLES["op12_repeated_bytes"] = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT doc_id, x, n, unnest(range((n - 200) // 1000 + 1)) AS o FROM d WHERE n >= 200),
+b AS (SELECT doc_id, o, substr(x, 2000 * o + 1, 2398) AS part, least(1000, n - 199 - 1000 * o) AS m FROM o),
+w AS (SELECT doc_id, 1000 * o + j AS i, md5_number(substr(part, 2 * j + 1, 400)) AS win
+      FROM (SELECT doc_id, o, part, unnest(range(m)) AS j FROM b)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT win FROM w GROUP BY win HAVING count(*) > 1) USING (win)),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r),
+k AS (SELECT doc_id, i, count(*) FILTER (WHERE p IS NULL OR i > p + 200) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS b, max(i) + 200 AS e FROM k GROUP BY doc_id, run),
+c AS (SELECT doc_id, run, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS from_ FROM s),
+a AS (SELECT doc_id, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last,
+      string_agg(substr(x, 2 * from_ + 1, 2 * (b - from_)), '' ORDER BY b) AS head FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
