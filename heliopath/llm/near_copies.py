@@ -2,43 +2,58 @@
 
 Two fingerprints at most ``radius`` bits apart differ in at most half as many
 in one of their two 32-bit halves, so covering masks are dealt out per half:
-63 tables a half for radius 11. Every position of a half gets a vector whose
-last bit is one; the other masks than the full one then read 16 bits each.
-
-Texts of the same words are one node. The pairs of a bucket within the radius
-are all candidates, unless it has more than ``DENSE`` for each member: such a
-bucket first gives a forest of its pairs, in another order each round, and at
-last all pairs whose nodes are not yet joined. So a group of near copies costs about one
-candidate a member and bucket, and every pair within the radius is
-either compared or joined by links. A bucket is worked off in one task.
+127 tables a half for radius 13. Every position of a half gets a vector whose
+last bit is one; the other masks than the full one then read 12, 16 or 20 bits.
+
+Texts of the same words are one node. A pair is a candidate if it meets in a
+bucket within the radius and its shingle counts allow the similarity. A bucket with more
+than ``DENSE`` such pairs for each member gives a forest of them, grown from the
+nodes of least hash. A node is compared with the ``HUBS`` partners of least hash; nodes with more, or in a bucket
+with too many, are *dense*. Once the
+candidates are compared and joined, dense nodes that are still apart meet again on a
+prefix of their shingles, rare ones first: texts as similar share one at places
+that leave room for the overlap (prefix and positional filter, nothing is lost). So every pair
+within the radius and as similar is compared or joined by links, and
+texts that only look alike by their fingerprint are not all paired.
 
 Similarity counts distinct shingles of ``width`` words; a text of fewer words
-is one shingle. A pair of similarity s is within 11 bits with a chance that falls with s,
+is one shingle. A pair of similarity s is within 13 bits with a chance that falls with s,
 so links near the least similarity are missed; the README has measured shares.
+
+A null text counts as empty; all empty texts are one group. Rows of a null id
+are like others and stay only if their group has no other id. An empty table gives an
+empty result. Columns are not renamed or added on the way, so their names may be any.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from hashlib import md5
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .covering import fingerprint
 from .tables import parts_of, stored, texts_of
 
-HALF, FEW, DENSE, ROUNDS = 32, 16, 8, 3
+HALF, FEW, DENSE, HUBS = 32, 16, 8, 8
+SLOTS = 1 << 18  # counters of the shingle sketch
+LOG_STEP, LOG_SHIFT = 100, 50
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def half_masks(radius: int) -> list[int]:
     """Masks so that any two fingerprints within the radius agree on one of them at least."""
     bits = radius // 2
+    if bits > 6:
+        raise ValueError("radius must be 13 or less")
     place = random.Random(5).sample(range(HALF), HALF)
-    vector = [1 << bits | p % (1 << bits) for p in place]
+    # A sixth bit is a quadratic form of the five, so that no mask is left with fewer than 12 positions.
+    form = [(p & 1) * (p >> 1 & 1) ^ (p >> 2 & 1) * (p >> 3 & 1) for p in place]
+    vector = [1 << bits | (p | f << 5) % (1 << bits) for p, f in zip(place, form)]
     return [sum(1 << half + i for i in range(HALF) if (vector[i] & v).bit_count() & 1)
             for half in (0, HALF) for v in range(1, 2 << bits)]
 
@@ -48,11 +63,28 @@ def shingles(data: bytes, width: int) -> set[bytes]:
     return {b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def close_pairs(fps: np.ndarray, roots: np.ndarray, radius: int, most: float) -> np.ndarray | None:
-    """Index pairs (2 x n) within the radius and of different roots; None if there are more than ``most``."""
+def mixed(values: np.ndarray) -> np.ndarray:
+    h = values.view(np.uint64) * MIX
+    return (h ^ (h >> np.uint64(29))) * MIX
+
+
+class Close:
+    """Which nodes of a bucket may be near copies: within the radius and of fitting shingle counts."""
+
+    def __init__(self, radius: int, similarity: float):
+        # A node's number begins with the logarithm of its count, rounded down: this far apart at most.
+        self.radius, self.most = radius, math.floor(-math.log(similarity) * LOG_STEP) + 1
+
+    def __call__(self, fps, nodes, one_fp, one_node) -> np.ndarray:
+        near = np.bitwise_count(fps ^ one_fp) <= self.radius
+        return near & (np.abs((nodes >> LOG_SHIFT) - (one_node >> LOG_SHIFT)) <= self.most)
+
+
+def close_pairs(fps: np.ndarray, nodes: np.ndarray, close: Close, most: float) -> np.ndarray | None:
+    """Index pairs (2 x n) of what is close; None if there are more than ``most``."""
     out, n = [np.zeros((2, 0), np.int64)], 0
     for i in range(len(fps) - 1):
-        found = i + 1 + np.flatnonzero((np.bitwise_count(fps[i + 1:] ^ fps[i]) <= radius) & (roots[i + 1:] != roots[i]))
+        found = i + 1 + np.flatnonzero(close(fps[i + 1:], nodes[i + 1:], fps[i], nodes[i]))
         n += len(found)
         if n > most:
             return None
@@ -61,83 +93,82 @@ def close_pairs(fps: np.ndarray, roots: np.ndarray, radius: int, most: float) ->
     return np.concatenate(out, axis=1)
 
 
-def forest_pairs(fps: np.ndarray, roots: np.ndarray, order: np.ndarray, radius: int) -> np.ndarray:
-    """Index pairs of a forest that joins what is within the radius; those of one root are left out."""
-    out, rest = [np.zeros((2, 0), np.int64)], order
+def forest_pairs(fps: np.ndarray, nodes: np.ndarray, close: Close) -> np.ndarray:
+    """Index pairs of a forest over what is close: each tree grows from its node of least hash."""
+    out, rest = [np.zeros((2, 0), np.int64)], np.argsort(mixed(nodes), kind="stable")
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             one = queue.pop(0)
-            near = np.bitwise_count(fps[rest] ^ fps[one]) <= radius
+            near = close(fps[rest], nodes[rest], fps[one], nodes[one])
             found, rest = rest[near], rest[~near]
             queue += found.tolist()
-            other = found[roots[found] != roots[one]]
-            out.append(np.stack([np.full(len(other), one), other]))
+            out.append(np.stack([np.full(len(found), one), found]))
     return np.concatenate(out, axis=1)
 
 
-def _candidates(rows: DataFrame, radius: int, turn: int) -> DataFrame:
-    """Rows (bucket, fp, node, root) to pairs (a, b); rows of dense buckets come back with their bucket and b null.
+def runs_of(batches):
+    """The columns of batches sorted by the first as numpy arrays, cut where its value changes."""
+    held = None
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        held = cols if held is None else [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        edge = np.flatnonzero(held[0][1:] != held[0][:-1])
+        if len(edge):
+            yield [h[:edge[-1] + 1] for h in held]
+            held = [h[edge[-1] + 1:] for h in held]
+    if held is not None and len(held[0]):
+        yield held
 
-    After ``ROUNDS`` turns all pairs are given.
-    """
+
+def _pair_batches(a: np.ndarray, b: np.ndarray, each: int = 100_000):
     import pyarrow as pa
 
-    names = ["bucket", "fp", "a", "b"]
-
-    def pairs_of(node, pairs):
-        for at in range(0, pairs.shape[1], 100_000):
-            a, b = node[pairs[:, at:at + 100_000]]
-            nulls = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names)
-
-    def settle(bucket, fp, node, root):
-        fps = fp.view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        sizes = np.diff(np.append(starts, len(bucket)))
-        small = np.repeat(sizes <= FEW, sizes)
-        index, found = np.flatnonzero(small), []
-        for gap in range(1, int(sizes[sizes <= FEW].max(initial=1))):
-            a, b = index[:-gap], index[gap:]
-            hit = (bucket[a] == bucket[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius) & (root[a] != root[b])
-            found.append(np.stack([a[hit], b[hit]]))
-        if found:
-            yield from pairs_of(node, np.concatenate(found, axis=1))
-        for at, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
-            own = slice(at, at + size)
-            pairs = close_pairs(fps[own], root[own], radius, np.inf if turn >= ROUNDS else DENSE * size)
-            if pairs is None:
-                mixed = (node[own].view(np.uint64) + np.uint64(turn) + bucket[own].view(np.uint64) * MIX) * MIX
-                mixed ^= mixed >> np.uint64(29)
-                pairs = forest_pairs(fps[own], root[own], np.argsort(mixed * MIX, kind="stable"), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(fp[own]), pa.array(node[own]),
-                                                  pa.nulls(size, pa.int64())], names)
-            yield from pairs_of(node[own], pairs)
+    for at in range(0, len(a), each):
+        yield pa.RecordBatch.from_arrays([pa.array(a[at:at + each]), pa.array(b[at:at + each])], ["a", "b"])
 
-    def work(batches):
-        held = None
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _candidates(dealt: DataFrame, close: Close) -> DataFrame:
+    """Rows (bucket, fp, node) to pairs (a, b, dense), dense if their bucket is."""
+    import pyarrow as pa
+
+    def marked(batches, dense):
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            held = cols if held is None else [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            edge = np.flatnonzero(held[0][1:] != held[0][:-1])
-            if len(edge):
-                yield from settle(*[h[:edge[-1] + 1] for h in held])
-                held = [h[edge[-1] + 1:] for h in held]
-        if held is not None and len(held[0]):
-            yield from settle(*held)
+            yield batch.append_column("dense", pa.array([dense] * batch.num_rows, pa.bool_()))
 
-    ordered = rows.select("bucket", "fp", "node", "root").repartition("bucket").sortWithinPartitions("bucket")
-    return ordered.mapInArrow(work, "bucket long, fp long, a long, b long")
+    def work(batches):
+        for bucket, fp, node in runs_of(batches):
+            fps = fp.view(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            sizes = np.diff(np.append(starts, len(bucket)))
+            index = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+            for gap in range(1, int(sizes[sizes <= FEW].max(initial=1))):
+                a, b = index[:-gap], index[gap:]
+                hit = bucket[a] == bucket[b]
+                a, b = a[hit], b[hit]
+                hit = close(fps[a], node[a], fps[b], node[b])
+                yield from marked(_pair_batches(node[a[hit]], node[b[hit]]), False)
+            for at, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+                own = slice(at, at + size)
+                pairs = close_pairs(fps[own], node[own], close, DENSE * size)
+                dense = pairs is None
+                hubs, members = node[own][forest_pairs(fps[own], node[own], close) if dense else pairs]
+                yield from marked(_pair_batches(members, hubs), dense)
+
+    ordered = dealt.select("bucket", "fp", "node").repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(work, "a long, b long, dense boolean").distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) are as similar."""
     import pyarrow as pa
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = stored(texts.join(ends, "node", "left_semi"))
-    both = (pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a")
-            .join(held.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
             .select("a", "b", "left_text", "right_text"))
 
     def compare(batches):
@@ -155,31 +186,94 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
     return both.mapInArrow(compare, "a long, b long")
 
 
+def _hashes(data: bytes, width: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    own = shingles(data, width)
+    return np.fromiter(map(xxh64_intdigest, own), np.uint64, len(own))
+
+
+def sketch(texts: DataFrame, width: int) -> np.ndarray:
+    """About how often each shingle's slot occurs: one counter per slot, whatever the number of texts."""
+    import pyarrow as pa
+
+    def count(batches):
+        own = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for data in texts_of(batch.column(0)):
+                own += np.bincount((_hashes(data, width) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        counts[slot] = n
+    return counts
+
+
+def prefix_pairs(dense: DataFrame, close: Close, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (node, fp, root, text) of different roots that may be as similar, by their prefixes.
+
+    Shingles are in one order for all, rare ones first. A pair of similarity s and n and m shingles shares at least
+    s / (1 + s) * (n + m), so the first that it shares is at places with as many behind.
+    """
+    import pyarrow as pa
+
+    counts = dense.sparkSession.sparkContext.broadcast(sketch(dense, width))
+    names = ["token", "node", "fp", "root", "n", "at"]
+
+    def first_shingles(batches):
+        for batch in batches:
+            for part in parts_of(batch, text=3):
+                rows = []
+                for i, data in enumerate(texts_of(part.column(3))):
+                    own = _hashes(data, width)
+                    n = len(own)
+                    own = own[np.lexsort((own, counts.value[(own % np.uint64(SLOTS)).astype(np.int64)]))]
+                    kept = own[:n - math.ceil(similarity * n - 1e-9) + 1]
+                    rows.append((kept.view(np.int64), np.full(len(kept), i), np.full(len(kept), n), np.arange(len(kept))))
+                token, row, n, at = (np.concatenate(c) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
+                node, fp, root = (part.column(k).to_numpy()[row] for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, node, fp, root, n, at)], names)
+
+    share = similarity / (1 + similarity)
+
+    def meet(batches):
+        for token, node, fp, root, n, at in runs_of(batches):
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            fps, room = fp.view(np.uint64), n - at
+            for begin, end in zip(starts.tolist(), np.append(starts[1:], len(token)).tolist()):
+                for i in range(begin, end - 1):
+                    rest = slice(i + 1, end)
+                    enough = np.minimum(room[rest], room[i]) >= share * (n[rest] + n[i]) - 1e-9
+                    hit = np.flatnonzero(enough & (root[rest] != root[i]) & close(fps[rest], node[rest], fps[i], node[i]))
+                    if len(hit):
+                        yield from _pair_batches(np.full(len(hit), node[i]), node[rest][hit])
+
+    rows = dense.select("node", "fp", "root", "text").mapInArrow(first_shingles, ", ".join(f"{c} long" for c in names))
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long")
+
+
 def _nodes(rows: DataFrame, width: int) -> DataFrame:
-    """(key, fp, doc_id, _row) of every row; key is a hash of the text's words."""
+    """(key, fp, size, doc_id, mark, tag) of rows (doc_id, mark, tag, text); key is a hash of the text's words."""
     import pyarrow as pa
 
     def hashed(batches):
         for batch in batches:
-            for part in parts_of(batch, text=2):
-                datas = texts_of(part.column(2))
+            for part in parts_of(batch, text=3):
+                datas = texts_of(part.column(3))
                 keys = [md5(b" ".join(d.lower().split())).digest() for d in datas]
                 fps = np.fromiter((fingerprint(d, width) for d in datas), np.uint64, len(datas))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(fps.view(np.int64)), *part.columns[:2]],
-                                                 ["key", "fp", "doc_id", "_row"])
+                sizes = [len(shingles(d, width)) for d in datas]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), *part.columns[:3]],
+                    ["key", "fp", "size", "doc_id", "mark", "tag"])
 
-    return rows.mapInArrow(hashed, "key binary, fp long, doc_id long, _row long")
+    return rows.mapInArrow(hashed, "key binary, fp long, size long, doc_id long, mark binary, tag long")
 
 
-def without_near_copies(docs: DataFrame, radius: int = 11, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
-                        text_col: str = "text") -> DataFrame:
-    """One row of each group of linked texts, all columns unchanged: the least id's, null ids last, of equal ids one."""
-    held = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows = held.select(F.col(id_col).cast("long").alias("doc_id"), "_row", F.col(text_col).alias("text"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row"))
-    nodes = stored(_nodes(rows, width).groupBy("key").agg(first.alias("first"), F.first("fp").alias("fp"))
-                   .select(F.col("first._row").alias("node"), "fp", "first"))
-    texts = rows.select(F.col("_row").alias("node"), "text")
+def node_links(nodes: DataFrame, texts: DataFrame, radius: int, width: int, similarity: float) -> DataFrame:
+    """(node, root) of all linked nodes (node, fp, mark), whose texts are those of (mark, text)."""
     whole = (1 << HALF) - 1
     # The table's number and the half of the masked fingerprint that is not zero in one long.
     made = []
@@ -187,18 +281,52 @@ def without_near_copies(docs: DataFrame, radius: int = 11, width: int = 5, simil
         part = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
         part = F.shiftrightunsigned(part, HALF) if mask > whole else part
         made.append(part.bitwiseOR(F.lit(t << HALF)))
-    dealt = nodes.select("fp", "node", F.col("node").alias("root"), F.explode(F.array(*made)).alias("bucket"))
-    links, turn = None, 0
-    while True:
-        found = stored(_candidates(dealt, radius, turn))
-        new = stored(similar(found.filter("b is not null").select("a", "b").distinct(), texts, width, similarity))
-        links = new if links is None else links.union(new)
-        roots = components(links)
-        dense = found.filter("b is null").select("bucket", "fp", F.col("a").alias("node"))
-        if turn >= ROUNDS or dense.isEmpty():
-            break
-        dealt = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        turn += 1
+    close = Close(radius, similarity)
+    found = stored(_candidates(nodes.select("fp", "node", F.explode(F.array(*made)).alias("bucket")), close))
+    ends = found.select("a", "b", "dense").union(found.select("b", "a", "dense")).groupBy("a", "b").agg(F.max("dense").alias("dense"))
+    ends = stored(ends)
+    # A node's partners of least hash are compared, all if there are few. A pair left out so has two dense ends.
+    near = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+    pairs = stored(_in_order(ends.select("a", "b").withColumn("place", near).filter(F.col("place") <= HUBS)))
+    dense = stored(ends.groupBy("a").agg(F.count("*").alias("n"), F.max("dense").alias("dense"))
+                   .filter(F.col("dense") | (F.col("n") > HUBS)).select(F.col("a").alias("node")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense).distinct()
+    marks = nodes.join(ends, "node").select("node", "mark")
+    held = stored(texts.join(marks, "mark").dropDuplicates(["node"]).select("node", "text"))
+    links = stored(similar(pairs, held, width, similarity))
+    roots = components(links)
+    if dense.isEmpty():
+        return roots
+    apart = (dense.join(nodes.select("node", "fp"), "node").join(roots, "node", "left").join(held, "node")
+             .select("node", "fp", F.coalesce("root", "node").alias("root"), "text"))
+    more = similar(stored(_in_order(prefix_pairs(stored(apart), close, width, similarity))), held, width, similarity)
+    return components(stored(links.union(more)))
+
+
+def without_near_copies(docs: DataFrame, radius: int = 13, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
+                        text_col: str = "text") -> DataFrame:
+    """One row of each group of linked texts, all columns unchanged: the least id's, null ids last, of equal ids one."""
+    mark = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    own = F.struct(F.col(f"`{id_col}`").cast("long").alias("doc_id"), mark.alias("mark"), F.xxhash64(*plain).alias("tag"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"))
+    texts = docs.select(mark.alias("mark"), F.col(f"`{text_col}`").alias("text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark", "tag"))
+    q = F.floor(F.log(F.greatest("size", F.lit(1))) * LOG_STEP).cast("long")
+    nodes = (_nodes(docs.select(own.alias("own"), F.col(f"`{text_col}`").alias("text")).select("own.*", "text"), width)
+             .groupBy("key").agg(first.alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size")))
+    nodes = stored(nodes.select((F.shiftleft(q, LOG_SHIFT) + F.monotonically_increasing_id()).alias("node"), "fp", "first",
+                                F.col("first.mark").alias("mark")))
+    roots = node_links(nodes.select("node", "fp", "mark"), texts, radius, width, similarity)
     kept = (nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-            .agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")))
-    return held.join(kept, "_row", "left_semi").select(*docs.columns)
+            .agg(F.min("first").alias("first")))
+    winners = kept.select(F.struct("first.doc_id", "first.mark", "first.tag").alias("winner"))
+    # Rows alike in all columns cannot be told apart: of those that win, one is taken by a count on their hashes.
+    alike = rows.groupBy("own").agg(F.count("*").alias("n")).filter("n > 1").select("own")
+    same = lambda a, b: (F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark"))
+                         & (F.col(f"{a}.tag") == F.col(f"{b}.tag")))
+    won = rows.join(winners, same("own", "winner"), "left_semi")
+    several = alike.select(F.col("own").alias("other"))
+    once = won.join(several, same("own", "other"), "left_anti")
+    twice = won.join(several, same("own", "other"), "left_semi").dropDuplicates(["own"])
+    return once.union(twice).select("row.*")

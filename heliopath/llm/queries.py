@@ -102,7 +102,8 @@ def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resampling import resample
 
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return drawn.select("row.doc_id", "n_features", "log_weight", "word_weight", "draw_key", "selected")
 
 
 @query

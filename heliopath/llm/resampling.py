@@ -33,6 +33,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import Index, parts_of, starts_of, stored, sums_between, texts_of
 
@@ -130,27 +131,26 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: st
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, words: np.ndarray, carry: list[str], text_col: str) -> DataFrame:
-    """The carried columns with n_features, log_weight and word_weight."""
+    """The carried columns in the struct ``row`` with n_features, log_weight and word_weight."""
     import pyarrow as pa
 
     def score(shared):
         def work(batches):
             features, (ratio, words) = Features(), shared.value
             for batch in batches:
-                names = batch.schema.names
                 for part in parts_of(batch):
                     bucket, starts, word, word_starts = features.with_words(texts_of(part.column(1)))
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns[2:], pa.array(np.diff(starts)), pa.array(sums_between(ratio[bucket], starts)),
+                        [part.column(0), pa.array(np.diff(starts)), pa.array(sums_between(ratio[bucket], starts)),
                          pa.array(sums_between(words[word], word_starts))],
-                        [*names[2:], "n_features", "log_weight", "word_weight"])
+                        ["row", "n_features", "log_weight", "word_weight"])
         return work
 
-    rows = docs.select(F.lit(0).alias("_first"), F.col(text_col).alias("_text"), *carry)
-    schema = rows.drop("_first", "_text").schema
-    made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    made = [T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType()),
+            T.StructField("word_weight", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast((ratio, words))
-    return rows.mapInArrow(score(shared), f"{made}, n_features long, log_weight double, word_weight double")
+    return rows.mapInArrow(score(shared), T.StructType([rows.schema["row"], *made]))
 
 
 def gumbel(id_column: Column, seed: int) -> Column:
@@ -178,25 +178,29 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> int:
 
 def resample(docs: DataFrame, labels: DataFrame, carry: list[str], loss: float = 0.003, most_labelled: int = 200_000,
              seed: int = 7, id_col: str = "doc_id", text_col: str = "text", clean: Column | None = None) -> DataFrame:
-    """Every row's carried columns with n_features, log_weight, word_weight, draw_key and selected (among the k largest).
+    """Every row's carried columns as ``row`` with n_features, log_weight, word_weight, draw_key and selected (among the k largest).
 
-    The carried columns must hold the id. ``clean`` is an expression over ``labels``.
+    The carried columns must hold the id. Only ids and weights are kept between the steps: where whole rows are
+    carried, they are weighed once more on the way out. ``clean`` is an expression over ``labels``.
     """
     clean = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) if clean is None else clean
     labelled = stored(_clean_ids(labels, id_col, clean))
     fit = (labelled.filter("clean = 1 and fitting").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled))
-    weighed = stored(weigh(docs, *log_ratios(docs, fit, id_col, text_col), carry, text_col))
-    seen = stored(weighed.select(F.col(id_col).cast("long").alias("doc_id"), "log_weight", "word_weight").join(
+    ratios = log_ratios(docs, fit, id_col, text_col)
+    weighed = stored(weigh(docs, *ratios, [id_col], text_col))
+    own_id = F.col(f"row.`{id_col}`")
+    seen = stored(weighed.select(own_id.cast("long").alias("doc_id"), "log_weight", "word_weight").join(
         labelled.filter("clean = 1 and not fitting").select("doc_id"), "doc_id"))
     low, low_word = seen.agg(*[F.percentile_approx(w, loss / 2, 100_000) for w in ("log_weight", "word_weight")]).first()
     worse = F.least(F.col("log_weight") - F.lit(low or 0.0), F.col("word_weight") - F.lit(low_word or 0.0))
     draw_key = lambda weight, key: F.round(weight + gumbel(key, seed), 6)
     millionths = lambda key: F.round(key * 1_000_000).cast("long")
-    keyed = weighed.withColumn("draw_key", draw_key(worse, F.col(id_col)))
+    keyed = weighed.withColumn("draw_key", draw_key(worse, own_id))
+    out = keyed if carry == [id_col] else weigh(docs, *ratios, carry, text_col).withColumn("draw_key", draw_key(worse, own_id))
     least = seen.agg(F.percentile_approx(millionths(draw_key(worse, F.col("doc_id"))), loss, 100_000)).first()[0]
     if least is None:
-        return keyed.withColumn("selected", F.lit(True))
+        return out.withColumn("selected", F.lit(True))
     keys = keyed.select(millionths(F.col("draw_key")).alias("q"))
     k = keys.filter(F.col("q") >= least).count()
     cut = kth_largest(keys, k)
-    return keyed.withColumn("selected", millionths(F.col("draw_key")) >= cut)
+    return out.withColumn("selected", millionths(F.col("draw_key")) >= cut)

@@ -19,7 +19,9 @@ def awkward(df):
     from pyspark.sql import functions as F
 
     return df.withColumns({"fp": F.lit("x"), "row": F.lit(1), "size": F.lit("y"), "key": F.lit(0), "words": F.lit("z"),
-                           "part": F.lit(3), "n_tokens": F.lit(None).cast("string"), "block": F.lit(True)})
+                           "part": F.lit(3), "n_tokens": F.lit(None).cast("string"), "block": F.lit(True),
+                           "_row": F.lit(77), "log_weight": F.lit("w"), "n_features": F.lit(1), "word_weight": F.lit(2), "own": F.lit(0),
+                           "mark": F.lit("m"), "tag": F.lit(1), "first": F.lit(2), "selected": F.lit("s")})
 
 
 def words(text):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -24,7 +25,7 @@ def family(rng, n, length, changed):
     return [" ".join(w) for w in out]
 
 
-def plain_kept(rows, radius=11):
+def plain_kept(rows, radius=13):
     """Least id of every component over all pairs within the radius and as similar."""
     sets, fps = [shingles((t or "").encode(), 5) for _, t in rows], [fingerprint((t or "").encode(), 5) for _, t in rows]
     root = list(range(len(rows)))
@@ -54,11 +55,11 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-def test_masks_cover_eleven_bits():
-    masks, rng = half_masks(11), random.Random(1)
-    assert len(masks) == 126 and sorted({m.bit_count() for m in masks}) == [16, 32]
+def test_masks_cover_thirteen_bits():
+    masks, rng = half_masks(13), random.Random(1)
+    assert len(masks) == 254 and sorted({m.bit_count() for m in masks}) == [12, 16, 20, 32]
     for _ in range(3000):
-        differ = sum(1 << i for i in rng.sample(range(64), 11))
+        differ = sum(1 << i for i in rng.sample(range(64), 13))
         assert any(not differ & m for m in masks)
 
 
@@ -89,10 +90,65 @@ def test_stage_drops_near_copies_beyond_three_bits(spark):
 
 def test_forest_joins_what_is_close():
     rng = np.random.default_rng(2)
-    fps = rng.integers(0, 1 << 8, 50).astype(np.uint64)
-    pairs = near_copies.forest_pairs(fps, np.arange(50), rng.permutation(50), 2)
+    fps, nodes = rng.integers(0, 1 << 8, 50).astype(np.uint64), np.arange(50)
+    pairs = near_copies.forest_pairs(fps, nodes, near_copies.Close(2, 0.8))
     assert pairs.shape[1] < 50 and (np.bitwise_count(fps[pairs[0]] ^ fps[pairs[1]]) <= 2).all()
 
 
+def test_counts_that_cannot_fit_are_no_candidates():
+    close, fps = near_copies.Close(64, 0.8), np.zeros(1, np.uint64)
+    number = lambda size: np.array([math.floor(math.log(size) * near_copies.LOG_STEP) << near_copies.LOG_SHIFT])
+    for n in range(1, 400):
+        for m in range(n, 2 * n):
+            if 0.8 * m <= n:
+                assert close(fps, number(n), fps, number(m))[0]
+    assert not close(fps, number(100), fps, number(130))[0]
+
+
+def test_lookalikes_give_few_candidates(spark, monkeypatch):
+    """3,000 texts of 40 words with one word replaced each: no two are similar, and few are compared."""
+    base, compared = [f"b{i}" for i in range(40)], []
+    rows = []
+    for i in range(3000):
+        own = list(base)
+        own[4 + i % 32] = f"x{i}"  # five shingles of 36: two texts share 31 of 41 at most
+        rows.append((i, " ".join(own)))
+    plain = near_copies.similar
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    got = {r.doc_id for r in without_near_copies(documents(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert sum(compared) < 20 * len(rows)
+
+
+def test_recall_over_all_pairs_of_the_test_table(spark):
+    """Of all pairs of different texts of 0.8 and more, with no bound on bits, nine in ten are in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for d, t in sorted(docs.collect()):
+        texts.setdefault(b" ".join((t or "").encode().lower().split()), d)
+    sets, having = {d: shingles(t, 5) for t, d in texts.items()}, {}
+    for d, own in sets.items():
+        for s in own:
+            having.setdefault(s, []).append(d)
+    shared = {}
+    for ids in having.values():
+        for i, a in enumerate(ids):
+            for b in ids[:i]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    pairs = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    pairs = {p: j for p, j in pairs.items() if j >= 0.8}
+    fps = {d: fingerprint(t, 5) for t, d in texts.items()}
+    for least in (0.8, 0.85, 0.9):
+        own = [p for p, j in pairs.items() if j >= least]
+        print(least, len(own), [sum((fps[a] ^ fps[b]).bit_count() <= r for a, b in own) for r in (3, 11, 13, 15)])
+    held = {r.doc_id for r in without_near_copies(docs).collect()}
+    assert sum(not {a, b} <= held for a, b in pairs) >= 0.9 * len(pairs) > 0
+
+
 def test_empty_table(spark):
     assert without_near_copies(documents(spark, [])).count() == 0

@@ -11,7 +11,7 @@ from heliopath.llm.spaced_seeds import PLAIN_WORDS
 from heliopath.llm.tables import stored, table
 
 from .helpers import documents, words
-from .test_covering import plain_components
+from .test_near_copies import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,8 +45,8 @@ def test_quality_keeps_clean_documents(spark, kept):
 
 def test_one_document_of_each_group_stays(kept):
     before, after, *_ = kept[1]
-    want = {c for _, _, c in plain_components([(r.doc_id, r.text) for r in before])}
-    assert sorted(r.doc_id for r in after) == sorted(want) and set(after) <= set(before)
+    want = plain_kept([(r.doc_id, r.text) for r in before])
+    assert sorted(r.doc_id for r in after) == want and set(after) <= set(before)
 
 
 def test_leaking_documents_go(spark, kept):

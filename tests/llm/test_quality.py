@@ -95,9 +95,12 @@ def plain_ratio(rows, wanted):
     return lambda b: share(target, b) - share(raw, b)
 
 
+MADE = ["n_features", "log_weight", "word_weight", "draw_key", "selected"]
+
+
 def test_weights_and_selection(spark):
     rows, labels, quality = labelled(spark)
-    got = resampling.resample(awkward(documents(spark, rows)), awkward(labels), ["doc_id", "fp"], loss=0.01).collect()
+    got = resampling.resample(awkward(documents(spark, rows)), awkward(labels), ["doc_id", "fp"], loss=0.01).select("row.*", *MADE).collect()
     assert len(got) == len(rows)
     clean = {i for i, q in quality.items() if q and i is not None}
     ratio = plain_ratio(rows, {i for i in clean if zlib.crc32(str(i).encode()) % 2 == 0})
@@ -110,7 +113,7 @@ def test_weights_and_selection(spark):
     assert sum(not r.selected for r in bad) > 0.95 * len(bad)
     unseen = [r for r in got if r.doc_id in clean and zlib.crc32(str(r.doc_id).encode()) % 2]
     assert sum(not r.selected for r in unseen) <= 0.02 * len(unseen) + 1
-    again = resampling.resample(documents(spark, rows, 7), labels, ["doc_id"], loss=0.01)
+    again = resampling.resample(documents(spark, rows, 7), labels, ["doc_id"], loss=0.01).select("row.*", *MADE)
     key = lambda r: (str(r.doc_id), r.draw_key, r.selected)
     assert sorted(map(key, again.collect())) == sorted(map(key, got))
 
@@ -142,7 +145,7 @@ def test_words_that_clean_texts_never_have_weigh_down(spark):
         if rng.random() < 0.4:
             labels.append((i, 1, int(toxic)))
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.selected for r in resampling.resample(documents(spark, rows), table, ["doc_id"]).collect()}
+    got = {r.doc_id: r.selected for r in resampling.resample(documents(spark, rows), table, ["doc_id"]).select("row.*", *MADE).collect()}
     toxic, clean = ([got[i] for i, _, t in labels if t == k] for k in (1, 0))
     assert sum(toxic) < 0.1 * len(toxic) and sum(clean) > 0.99 * len(clean)
 
@@ -151,7 +154,7 @@ def test_toxic_rows_go_on_the_test_table(spark):
     """Of labelled rows of good quality most toxic ones go, and under 1 % of the clean ones."""
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
-    held = {r.doc_id for r in resampling.resample(docs, labels, ["doc_id"]).filter("selected").collect()}
+    held = {r.doc_id for r in resampling.resample(docs, labels, ["doc_id"]).filter("selected").select("row.*").collect()}
     known = [(r.doc_id, r.toxic) for r in labels.filter("quality = 1").collect()]
     toxic, clean = ([i in held for i, t in known if t == k] for k in (1, 0))
     share = lambda x: sum(x) / len(x)
