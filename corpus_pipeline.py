@@ -27,7 +27,7 @@ ORACLE_SQL = None  # token ids and model weights are beyond SQL; tests hold the
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that importance resampling does not draw."""
     drawn = resample(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return drawn.filter("selected").select(*docs.columns)
+    return drawn.filter("selected").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
