@@ -39,7 +39,7 @@ from .tables import Index, parts_of, starts_of, stored, sums_between, texts_of
 
 BUCKETS = 10_000
 WORD_BUCKETS, SURE = 1 << 20, 2.5
-STORE = 400_000
+STORE, PART_BYTES = 400_000, 2_000_000
 FEATURE_WORDS = re.compile(rb"[a-z0-9_\x80-\xff]+|[^a-z0-9_\x80-\xff\s]+").findall
 
 
@@ -133,12 +133,17 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: st
 def weigh(docs: DataFrame, ratio: np.ndarray, words: np.ndarray, carry: list[str], text_col: str) -> DataFrame:
     """The carried columns in the struct ``row`` with n_features, log_weight and word_weight."""
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = carry.index(text_col) if text_col in carry else None
 
     def score(shared):
         def work(batches):
             features, (ratio, words) = Features(), shared.value
             for batch in batches:
-                for part in parts_of(batch):
+                row = batch.column(0)
+                text = batch.column(1) if at is None else pc.struct_field(row, [at])
+                for part in parts_of(pa.RecordBatch.from_arrays([row, text], ["row", "text"]), PART_BYTES):
                     bucket, starts, word, word_starts = features.with_words(texts_of(part.column(1)))
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), pa.array(np.diff(starts)), pa.array(sums_between(ratio[bucket], starts)),
@@ -146,7 +151,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, words: np.ndarray, carry: list[str
                         ["row", "n_features", "log_weight", "word_weight"])
         return work
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
+                       *([F.col(f"`{text_col}`").alias("text")] if at is None else []))
     made = [T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType()),
             T.StructField("word_weight", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast((ratio, words))
