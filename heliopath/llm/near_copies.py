@@ -40,6 +40,7 @@ from .covering import fingerprint
 from .tables import parts_of, stored, texts_of
 
 HALF, FEW, DENSE, HUBS = 32, 16, 8, 8
+PART_BYTES = 2_000_000
 SLOTS = 1 << 18  # counters of the shingle sketch
 LOG_STEP, LOG_SHIFT = 100, 50
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -173,7 +174,7 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
 
     def compare(batches):
         for batch in batches:
-            for part in parts_of(batch, text=2):
+            for part in parts_of(batch, PART_BYTES, 2):
                 keep, last, own = [], None, set()
                 for a, x, y in zip(part.column(0).to_pylist(), texts_of(part.column(2)), texts_of(part.column(3))):
                     if a != last:
@@ -224,7 +225,7 @@ def prefix_pairs(dense: DataFrame, close: Close, width: int, similarity: float)
 
     def first_shingles(batches):
         for batch in batches:
-            for part in parts_of(batch, text=3):
+            for part in parts_of(batch, PART_BYTES, 3):
                 rows = []
                 for i, data in enumerate(texts_of(part.column(3))):
                     own = _hashes(data, width)
@@ -260,7 +261,7 @@ def _nodes(rows: DataFrame, width: int) -> DataFrame:
 
     def hashed(batches):
         for batch in batches:
-            for part in parts_of(batch, text=3):
+            for part in parts_of(batch, PART_BYTES, 3):
                 datas = texts_of(part.column(3))
                 keys = [md5(b" ".join(d.lower().split())).digest() for d in datas]
                 fps = np.fromiter((fingerprint(d, width) for d in datas), np.uint64, len(datas))

@@ -39,7 +39,7 @@ from .tables import Index, parts_of, starts_of, stored, sums_between, texts_of
 
 BUCKETS = 10_000
 WORD_BUCKETS, SURE = 1 << 20, 2.5
-STORE, PART_BYTES = 400_000, 2_000_000
+STORE, PART_BYTES = 200_000, 2_000_000
 FEATURE_WORDS = re.compile(rb"[a-z0-9_\x80-\xff]+|[^a-z0-9_\x80-\xff\s]+").findall
 
 
@@ -99,7 +99,7 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: st
         # Kind 0 counts features, kind 1 the texts with a word, kind 2 texts.
         counts = [np.zeros((2, n), np.int64) for n in (BUCKETS, WORD_BUCKETS, 1)]
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, PART_BYTES):
                 bucket, starts, word, word_starts = features.with_words(texts_of(part.column(1)))
                 chosen = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 texts = np.zeros(part.num_rows, np.int64)
