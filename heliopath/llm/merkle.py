@@ -139,10 +139,11 @@ def build(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     subroots = stored(subroots)
     top, root = _grown(subroots.select(F.lit(0).alias("tree"), (F.col("tree") - 1).cast("long").alias("idx"), "h"))
     linked = rows.withColumn("parent", F.coalesce("parent", node_id(0, F.lit(0), F.col("tree") - 1)))
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    one = F.lit(0).cast("long")
+    salts = F.sequence(one, F.lit(SALTS - 1).cast("long"))
     all_rows = linked.select("node", "parent", "rungs", (F.col("node") < 1 << 60).alias("low")).union(
         top.select("node", "parent", "rungs", F.lit(False)))
-    dealt = all_rows.withColumn("salt", F.explode(F.when(F.col("low"), F.array(F.lit(0))).otherwise(salts)).cast("long"))
+    dealt = all_rows.withColumn("salt", F.explode(F.when(F.col("low"), F.array(one)).otherwise(salts)))
     return stored(dealt.select("node", "salt", "parent", "rungs")), subroots, root.select("h")
 
 
