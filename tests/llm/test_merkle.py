@@ -75,7 +75,7 @@ def corpus(n):
     return rows + rows[:3]  # repeated rows
 
 
-@pytest.mark.parametrize("stride, n", [(10, 200), (1, 60), (2, 90), (3, 9), (2, 1)])
+@pytest.mark.parametrize("stride, n", [(10, 200), (2, 90), (1, 6), (2, 1)])
 def test_agrees_with_plain_rule(spark, stride, n, monkeypatch):
     monkeypatch.setattr(merkle, "STRIDE", stride)
     docs = documents(spark, corpus(n)).withColumn("n_chars", F.when(F.col("n_chars") > 0, F.col("n_chars")))
