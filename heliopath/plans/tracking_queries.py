@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, osm, solar
-from ..operators import analysis, paths, roads
+from ..operators import analysis, lookups, paths, roads
 from ..operators.spatial import nearest_segment
 from ..streaming import navigation as nav
 from . import sqltext as S
@@ -194,6 +194,23 @@ def r22(spark, sf):
     return roads.cells_to_look_up(_fixes(spark, sf))
 
 
+LOOKUPS = f"""{FIX.replace('WITH', 'WITH RECURSIVE', 1)},
+r AS (SELECT concat(printf('%.2f',lat),',',printf('%.2f',lng)) AS cell, fix_ms AS t, fix_id AS id, CASE WHEN hw_heading IS NOT NULL THEN 900000 ELSE 30000 END AS life FROM fx_gps_fixes),
+asked AS (SELECT cell, min({{'t':t,'id':id,'life':life}}) AS n FROM r GROUP BY cell
+ UNION ALL SELECT a.cell, min({{'t':r.t,'id':r.id,'life':r.life}}) FROM asked a JOIN r ON r.cell=a.cell AND r.t>=a.n.t+a.n.life GROUP BY a.cell),
+m AS (SELECT r.cell, r.t, r.id, a.n IS NOT NULL AS asks FROM r LEFT JOIN asked a ON a.cell=r.cell AND a.n.t=r.t AND a.n.id=r.id)
+SELECT id AS fix_id, cell, asks, last_value(CASE WHEN asks THEN id END IGNORE NULLS) OVER (PARTITION BY cell ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS answered_by FROM m"""
+
+
+@query("R22_timed_lookups", LOOKUPS)
+def r22_timed(spark, sf):
+    """Every fix asks for its cell of about a kilometre; a fix without a heading stands for a failed look-up."""
+    cell = F.concat_ws(",", F.format_string("%.2f", "lat"), F.format_string("%.2f", "lng"))
+    fixes = _fixes(spark, sf).withColumn("cell", cell)
+    out = lookups.timed_lookups(fixes, lookups.life_ms(F.col("hw_heading").isNotNull()))
+    return out.select("fix_id", "cell", "asks", "answered_by")
+
+
 @query("R23_dark_state", """WITH m AS (SELECT event_id, user_id, ts, value*2 v, CASE WHEN value*2<30 THEN true WHEN value*2>80 THEN false END k FROM events)
 SELECT event_id, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),false) AS is_dark,
  coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),false) OR event_id%10=0 OR event_id%90-20<-0.02 AS dark_theme FROM m""")
