@@ -195,7 +195,7 @@ def r22(spark, sf):
 
 
 LOOKUPS = f"""{FIX.replace('WITH', 'WITH RECURSIVE', 1)},
-r AS (SELECT concat(printf('%.2f',lat),',',printf('%.2f',lng)) AS cell, fix_ms AS t, fix_id AS id, CASE WHEN hw_heading IS NOT NULL THEN 900000 ELSE 30000 END AS life FROM fx_gps_fixes),
+r AS (SELECT concat(floor(lat*100)::BIGINT,',',floor(lng*100)::BIGINT) AS cell, fix_ms AS t, fix_id AS id, CASE WHEN hw_heading IS NOT NULL THEN 900000 ELSE 30000 END AS life FROM fx_gps_fixes),
 asked AS (SELECT cell, min({{'t':t,'id':id,'life':life}}) AS n FROM r GROUP BY cell
  UNION ALL SELECT a.cell, min({{'t':r.t,'id':r.id,'life':r.life}}) FROM asked a JOIN r ON r.cell=a.cell AND r.t>=a.n.t+a.n.life GROUP BY a.cell),
 m AS (SELECT r.cell, r.t, r.id, a.n IS NOT NULL AS asks FROM r LEFT JOIN asked a ON a.cell=r.cell AND a.n.t=r.t AND a.n.id=r.id)
@@ -205,7 +205,7 @@ SELECT id AS fix_id, cell, asks, last_value(CASE WHEN asks THEN id END IGNORE NU
 @query("R22_timed_lookups", LOOKUPS)
 def r22_timed(spark, sf):
     """Every fix asks for its cell of about a kilometre; a fix without a heading stands for a failed look-up."""
-    cell = F.concat_ws(",", F.format_string("%.2f", "lat"), F.format_string("%.2f", "lng"))
+    cell = F.concat_ws(",", F.floor(F.col("lat") * 100), F.floor(F.col("lng") * 100))
     fixes = _fixes(spark, sf).withColumn("cell", cell)
     out = lookups.timed_lookups(fixes, lookups.life_ms(F.col("hw_heading").isNotNull()))
     return out.select("fix_id", "cell", "asks", "answered_by")
