@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .covering import fingerprint
-from .tables import parts_of, stored, texts_of
+from .tables import let_go, parts_of, stored, texts_of
 
 HALF, FEW, DENSE, HUBS = 32, 16, 8, 8
 PART_BYTES = 2_000_000
@@ -142,6 +142,7 @@ def _candidates(dealt: DataFrame, close: Close) -> DataFrame:
             yield batch.append_column("dense", pa.array([dense] * batch.num_rows, pa.bool_()))
 
     def work(batches):
+        let_go()
         for bucket, fp, node in runs_of(batches):
             fps = fp.view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -260,6 +261,7 @@ def _nodes(rows: DataFrame, width: int) -> DataFrame:
     import pyarrow as pa
 
     def hashed(batches):
+        let_go()
         for batch in batches:
             for part in parts_of(batch, PART_BYTES, 3):
                 datas = texts_of(part.column(3))

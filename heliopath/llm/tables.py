@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,25 @@ def tasks_for(df: DataFrame, rows: int, rows_each: int) -> int:
     return max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / rows_each))
 
 
+LOADED = []  # what this worker process keeps from one task to the next
+
+
+def per_worker(load):
+    """One loaded value for each worker process, which serves its tasks until another operator lets it go."""
+    kept = lru_cache(maxsize=1)(load)
+    LOADED.append(kept)
+    return kept
+
+
+def let_go():
+    """Frees what earlier operators keep in this worker process: Spark uses one for all jobs of a session."""
+    import pyarrow as pa
+
+    for kept in LOADED:
+        kept.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Index(dict):
     """Numbers keys in order of first sight."""
 

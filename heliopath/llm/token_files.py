@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Index, parts_of, starts_of, texts_of
+from .tables import Index, parts_of, per_worker, starts_of, texts_of
 
 STORE = 900_000  # distinct chunks a worker keeps; beyond it, those seen once or rarely make room
 ROWS = 128  # sequences of a record batch
@@ -62,7 +62,7 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=1)
+@per_worker
 def encoder_of(path: str, end_id: int):
     """One encoder per worker process; what it has learned serves all its tasks."""
     return ChunkEncoder(path, end_id)

@@ -83,3 +83,16 @@ def test_empty_table(spark, tmp_path):
     assert token_counts(documents(spark, []), public_tokenizers.path("word_bpe_49k.json"), 5).count() == 0
     parts = write_sequences(documents(spark, []), f"{tmp_path}/none", public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert read_digests(spark, parts, f"{tmp_path}/none").count() == 0
+
+
+def test_a_worker_lets_go_of_what_it_has_loaded():
+    from heliopath.llm.tables import LOADED, let_go, per_worker
+
+    calls = []
+    load = per_worker(lambda name: calls.append(name) or [name])
+    try:
+        assert load("a") is load("a") and calls == ["a"]
+        let_go()
+        assert load("a") == ["a"] and calls == ["a", "a"]
+    finally:
+        LOADED.remove(load)
