@@ -1,8 +1,11 @@
 """Cases of the third review: rows on which operators and their SQL gave different results, and steps that grew too fast."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from heliopath.functions import solar
+from heliopath.functions import geo, solar
+from heliopath.operators import spatial
 
 
 def test_day_times_on_the_edge_of_a_minute(spark):
@@ -13,3 +16,25 @@ def test_day_times_on_the_edge_of_a_minute(spark):
     df = spark.createDataFrame(rows, "lat double, lng double, ms long, rise long, set long").withColumn("day", solar.utc_date("ms"))
     out = solar.with_day_times(df, "day", "lat", "lng")
     assert out.filter((F.col("sunrise_ms") == F.col("rise")) & (F.col("sunset_ms") == F.col("set"))).count() == len(rows)
+
+
+def test_nearest_segment_shuffles_points_and_segments_once(spark):
+    rng = random.Random(5)
+    line = [(r, i, 40.9 + r * 0.05 + i * 0.002, -100 + i * 0.001 * (r - 3)) for r in range(7) for i in range(40)]
+    segments = spark.createDataFrame([(r, i, a, b, c, d) for (r, i, a, b), (q, _, c, d) in zip(line, line[1:]) if r == q],
+                                     "route_id long, seg_idx long, lat1 double, lng1 double, lat2 double, lng2 double")
+    spots = [(k, k % 7, 41 + rng.uniform(-0.3, 0.6), -100 + rng.uniform(-0.3, 0.3)) for k in range(150)] + [(150, 3, -20.0, 60.0), (151, 99, 41.0, -100.0)]
+    points = spark.createDataFrame(spots, "point_id long, route_id long, lat double, lng double")
+    got = {r.point_id: (r.seg_idx, r.distance) for r in spatial.nearest_segment(points, segments, first_m=400.0).collect()}
+    t = geo.segment_fraction("lat", "lng", "lat1", "lng1", "lat2", "lng2", geo.lng_scale("lat"))
+    gap = geo.haversine_m("lat", "lng", geo.along("lat1", "lat2", t), geo.along("lng1", "lng2", t))
+    want = points.join(segments, "route_id").groupBy("point_id").agg(F.min(F.struct(F.round(gap, 6).alias("d"), "seg_idx")).alias("b"))
+    want = {r.point_id: (r.b.seg_idx, r.b.d) for r in want.collect()}
+    assert got.keys() == want.keys() and len(got) == 151
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spatial.nearest_segment(points, segments, only_within=75.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange ") == 2
