@@ -133,6 +133,14 @@ class Block:
         return (key, self.counts[order]), merged(self.keys, self.key_counts)
 
 
+def distinct_keys(keys: list[np.ndarray]) -> np.ndarray:
+    """Distinct keys in order; one copy of them is sorted in place."""
+    key = np.concatenate([np.zeros(0, np.uint64), *keys])
+    keys.clear()
+    key.sort()
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+
+
 def words_of(stream: bytes) -> list[bytes]:
     return [*stream[:-1].split(), END_WORD]
 
@@ -330,12 +338,12 @@ def score_texts(docs: DataFrame, depth: int = 5, id_col: str = "doc_id", text_co
 
     def answer(asked, known):
         """To every block the values of its keys: counts of words, log10 probabilities of grams."""
-        kind = asked.column("kind").to_pylist()
-        block, one, two = (asked.column(c).to_pylist() for c in ("block", "one", "two"))
+        kind, block, two = (asked.column(c).to_pylist() for c in ("kind", "block", "two"))
+        one = [o.as_buffer() for o in asked.column("one")]
         words, counts = merged([longs(o) for o, k in zip(one, kind) if k == 1],
                                [longs(t, np.uint32).astype(np.int64) for t, k in zip(two, kind) if k == 1])
-        grams = np.concatenate([np.zeros(0, np.uint64), *map(longs, known.column("grams").to_pylist())])
-        log10 = np.concatenate([np.zeros(0), *[longs(v, float) for v in known.column("log10").to_pylist()]])
+        grams = np.concatenate([np.zeros(0, np.uint64), *(longs(g.as_buffer()) for g in known.column("grams"))])
+        log10 = np.concatenate([np.zeros(0), *[longs(v.as_buffer(), float) for v in known.column("log10")]])
         order = np.argsort(grams)
         grams, log10 = grams[order], log10[order]
         out = []
@@ -343,6 +351,7 @@ def score_texts(docs: DataFrame, depth: int = 5, id_col: str = "doc_id", text_co
             own = longs(o)
             value = counts[np.searchsorted(words, own)] if k == 1 else log10[np.searchsorted(grams, own)]
             out.append((b, k, value.tobytes()))
+        del words, counts, grams, log10, order
         return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([asked.column("part")[0].as_py()] * len(out), pa.int32()),
                          pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())],
                         names=["block", "part", "kind", "value"])
@@ -354,23 +363,28 @@ def score_texts(docs: DataFrame, depth: int = 5, id_col: str = "doc_id", text_co
 
     def score(texts, answers):
         """Scores of a block. Its distinct keys are found again, in the order in which their values were asked for."""
-        block = Block(depth)
-        batches = lambda: (b for blob in texts.column("one").to_pylist() for b in pa.ipc.open_stream(blob))
+        index, keys = Index(), []
+        batches = lambda: (b for blob in texts.column("one") for b in pa.ipc.open_stream(blob.as_buffer()))
         for batch in batches():
-            block.add(batch.column(2).to_pylist(), np.zeros(batch.num_rows, bool))
-        (word, _), (gram, _) = block.distinct()
-        values = {(k, p): v for k, p, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "value")))}
+            streams = batch.column(2).to_pylist()
+            index.numbers([w for s in streams for w in words_of(s)])
+            keys.append(distinct_keys([grams_of(streams, depth)[0]]))
+            if len(keys) > 6:
+                keys = [distinct_keys(keys)]
+        gram, (word, order) = distinct_keys(keys), word_keys(index)
+        # Values stay views of the Arrow column.
+        values = {(k, p): v.as_buffer() for k, p, v in zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(), answers.column("value"))}
         count, log10 = np.zeros(len(word), np.int64), np.zeros(len(gram))
         for kind, key, value in ((1, word, count), (2, gram, log10)):
             for p, at in by_part(key, parts):
                 value[at] = longs(values.pop((kind, p)), value.dtype)
         known = np.zeros(len(word), np.int64)
-        known[word_keys(block.index)[1]] = count
+        known[order] = count
         done = []
         for batch in batches():
             streams = batch.column(2).to_pylist()
             words = [words_of(s) for s in streams]
-            c, starts = known[block.index.numbers([w for own in words for w in own])], starts_of(map(len, words))
+            c, starts = known[index.numbers([w for own in words for w in own])], starts_of(map(len, words))
             base = np.log10(c + 0.1) - per_word if total else np.zeros(len(c))
             own, ends = grams_of(streams, depth)
             distinct, inverse = np.unique(own, return_inverse=True)

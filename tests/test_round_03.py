@@ -1,10 +1,13 @@
 """Cases of the third review: rows on which operators and their SQL gave different results, and steps that grew too fast."""
 
 import random
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from heliopath.functions import geo, solar
+from heliopath.llm import context_trees
 from heliopath.operators import spatial
 
 
@@ -38,3 +41,15 @@ def test_nearest_segment_shuffles_points_and_segments_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange ") == 2
+
+
+def test_distinct_keys_hold_one_copy_beside_the_result():
+    rng = np.random.RandomState(1)
+    keys = [rng.randint(1 << 20, size=400_000).astype(np.uint64) for _ in range(5)]
+    want, size = np.unique(np.concatenate(keys)), sum(k.nbytes for k in keys)
+    tracemalloc.start()
+    got = context_trees.distinct_keys(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and not keys and peak < 2 * size
+    assert len(context_trees.distinct_keys([])) == 0
