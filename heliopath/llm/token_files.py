@@ -29,9 +29,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Index, parts_of, per_worker, starts_of, texts_of
+from .tables import Index, let_go, parts_of, per_worker, starts_of, texts_of
 
 STORE = 900_000  # distinct chunks a worker keeps; beyond it, those seen once or rarely make room
+SMALL_STORE = 300_000  # the same where earlier stages have left less memory
 ROWS = 128  # sequences of a record batch
 
 # A pre-token of the byte-level rule never holds white space behind other characters, so a text may be cut before each
@@ -63,23 +64,23 @@ def library(path: str):
 
 
 @per_worker
-def encoder_of(path: str, end_id: int):
+def encoder_of(path: str, end_id: int, store: int | None = None):
     """One encoder per worker process; what it has learned serves all its tasks."""
-    return ChunkEncoder(path, end_id)
+    return ChunkEncoder(path, end_id, store)
 
 
 class ChunkEncoder:
     """Ids of texts; distinct chunks are encoded once by the library and kept for a while."""
 
-    def __init__(self, path: str, end_id: int):
-        self.tokenizer, self.end_id = library(path), end_id
+    def __init__(self, path: str, end_id: int, store: int | None = None):
+        self.tokenizer, self.end_id, self.store = library(path), end_id, store or STORE
         self.model = self.tokenizer.model
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.index, self.ids, self.at, self.seen = Index(), np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _make_room(self):
         """Keeps the chunks seen most often, half the store at most."""
-        least = max(2, int(np.partition(self.seen, -STORE // 2)[-STORE // 2]) + 1)
+        least = max(2, int(np.partition(self.seen, -self.store // 2)[-self.store // 2]) + 1)
         keep = np.flatnonzero(self.seen >= least)
         names, sizes = list(self.index), np.diff(self.at)[keep]
         starts = starts_of(sizes)
@@ -142,7 +143,7 @@ class ChunkEncoder:
 
     def of(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow column of texts in a row, each text's followed by the end id, and the number of each text."""
-        if len(self.index) > STORE:
+        if len(self.index) > self.store:
             self._make_room()
         if not len(column):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
@@ -213,7 +214,8 @@ class PartWriter:
 
 
 def write_sequences(docs: DataFrame, root: str, path: str, end_id: int, length: int = 2048,
-                    id_col: str = "doc_id", text_col: str = "text", part_rows: int = 10_000) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", part_rows: int = 10_000,
+                    store: int | None = None) -> DataFrame:
     """Writes all parts under ``root``; one row per part: (part, total ids, number of documents)."""
     import pyarrow as pa
     from pyspark import TaskContext
@@ -225,8 +227,9 @@ def write_sequences(docs: DataFrame, root: str, path: str, end_id: int, length:
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
+        let_go(encoder_of)
         context = TaskContext.get()
-        encoder, writer, n = encoder_of(path, end_id), None, 0
+        encoder, writer, n = encoder_of(path, end_id, store), None, 0
         for batch in batches:
             for piece in parts_of(batch, 4_000_000):
                 if writer is None:

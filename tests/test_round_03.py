@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from heliopath.functions import geo, solar
-from heliopath.llm import context_trees
-from heliopath.operators import spatial
+from heliopath.llm import context_trees, tables, token_files
+from heliopath.llm.queries import vocabulary
+from heliopath.operators import roads, spatial
 
 
 def test_day_times_on_the_edge_of_a_minute(spark):
@@ -53,3 +54,21 @@ def test_distinct_keys_hold_one_copy_beside_the_result():
     tracemalloc.stop()
     assert (got == want).all() and not keys and peak < 2 * size
     assert len(context_trees.distinct_keys([])) == 0
+
+
+def test_a_small_store_gives_the_same_ids_and_stays_small():
+    import pyarrow as pa
+
+    path = vocabulary("byte_bpe_50k.json")
+    small, whole = token_files.ChunkEncoder(path, 2, 50), token_files.ChunkEncoder(path, 2)
+    for k in range(8):
+        texts = pa.array([f"alpha beta w{k}x{i} y{i}" for i in range(60)])
+        assert (small.of(texts)[0] == whole.of(texts)[0]).all()
+    assert len(small.index) < len(whole.index) / 2
+
+
+def test_letting_go_keeps_what_is_named():
+    one, other = tables.per_worker(lambda: object()), tables.per_worker(lambda: object())
+    first, second = one(), other()
+    tables.let_go(one)
+    assert one() is first and other() is not second
