@@ -38,7 +38,8 @@ def best_road(fixes: DataFrame, roads: DataFrame, within_m: float = ROAD_M) -> D
     ready = spread(fixes.select("fix_id", "lat", "lng", "heading", _plain(F.col("road_name")).alias("_want"),
                                 lng_scale("lat").alias("_kx")), "fix_id")
     near = explode_geo_points(ready, "lat", "lng", within_m)
-    pairs = settled(near.join(parts, ["band", "cx", "cy"]), "_t",
+    # The planner takes expanded rows for as few as their table has and would send them to the driver.
+    pairs = settled(near.hint("merge").join(parts, ["band", "cx", "cy"]), "_t",
                     segment_fraction("lat", "lng", "lat1", "lng1", "lat2", "lng2", "_kx"))
     pairs = settled(pairs, "_m", haversine_m("lat", "lng", along("lat1", "lat2", "_t"), along("lng1", "lng2", "_t"))).filter(
         F.col("_m") <= within_m)

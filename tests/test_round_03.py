@@ -72,3 +72,11 @@ def test_letting_go_keeps_what_is_named():
     first, second = one(), other()
     tables.let_go(one)
     assert one() is first and other() is not second
+
+
+def test_expanded_fixes_and_roads_are_not_broadcast(spark):
+    fixes = spark.range(3).selectExpr("id AS fix_id", "42.0 + id AS lat", "-71.0 AS lng", "cast(null AS double) AS heading", "'' AS road_name")
+    line = F.array(*[F.struct((F.col("lat") + k / 1000).alias("lat"), F.col("lng")) for k in (0, 1)])
+    ways = fixes.select(F.col("fix_id").alias("way_id"), line.alias("line"), F.lit("x").alias("name"))
+    plan = roads.best_road(fixes, ways)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [band" in plan and "BroadcastExchange" not in plan
