@@ -12,7 +12,9 @@ nodes of least hash. A node is compared with the ``HUBS`` partners of least hash
 with too many, are *dense*. Once the
 candidates are compared and joined, dense nodes that are still apart meet again on a
 prefix of their shingles, rare ones first: texts as similar share one at places
-that leave room for the overlap (prefix and positional filter, nothing is lost). So every pair
+that leave room for the overlap (prefix and positional filter, nothing is lost). Where they meet, texts of ``SETS`` shingles
+at most are compared by the hashes that travel with them, and of the links found a forest is given, so a group of k
+gives k - 1 pairs at most; of longer texts all pairs that may be as similar are given. So every pair
 within the radius and as similar is compared or joined by links, and
 texts that only look alike by their fingerprint are not all paired.
 
@@ -37,10 +39,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .covering import fingerprint
-from .tables import let_go, parts_of, stored, texts_of
+from .tables import let_go, parts_of, starts_of, stored, texts_of
 
 HALF, FEW, DENSE, HUBS = 32, 16, 8, 8
 PART_BYTES = 2_000_000
+TOKEN_ROWS = 5_000
+SETS = 512  # texts of more shingles do not take all of them to every shingle of their prefix
 SLOTS = 1 << 18  # counters of the shingle sketch
 LOG_STEP, LOG_SHIFT = 100, 50
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -112,7 +116,7 @@ def runs_of(batches):
     """The columns of batches sorted by the first as numpy arrays, cut where its value changes."""
     held = None
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = cols if held is None else [np.concatenate([h, c]) for h, c in zip(held, cols)]
         edge = np.flatnonzero(held[0][1:] != held[0][:-1])
         if len(edge):
@@ -214,45 +218,66 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def prefix_pairs(dense: DataFrame, close: Close, width: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rows (node, fp, root, text) of different roots that may be as similar, by their prefixes.
+    """Pairs (a, b) of rows (node, fp, root, text) of different roots that join all that are as similar, by their prefixes.
 
     Shingles are in one order for all, rare ones first. A pair of similarity s and n and m shingles shares at least
-    s / (1 + s) * (n + m), so the first that it shares is at places with as many behind.
+    s / (1 + s) * (n + m), so the first that it shares is at places with as many behind. Nodes already joined, by their
+    roots or by pairs given before, are not joined again at the same shingle.
     """
     import pyarrow as pa
 
     counts = dense.sparkSession.sparkContext.broadcast(sketch(dense, width))
-    names = ["token", "node", "fp", "root", "n", "at"]
+    names = ["token", "node", "fp", "root", "n", "at", "held"]
 
     def first_shingles(batches):
         for batch in batches:
             for part in parts_of(batch, PART_BYTES, 3):
-                rows = []
+                rows, held = [], []
                 for i, data in enumerate(texts_of(part.column(3))):
                     own = _hashes(data, width)
                     n = len(own)
+                    held.append(own.tobytes() if n <= SETS else None)
                     own = own[np.lexsort((own, counts.value[(own % np.uint64(SLOTS)).astype(np.int64)]))]
                     kept = own[:n - math.ceil(similarity * n - 1e-9) + 1]
                     rows.append((kept.view(np.int64), np.full(len(kept), i), np.full(len(kept), n), np.arange(len(kept))))
                 token, row, n, at = (np.concatenate(c) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
                 node, fp, root = (part.column(k).to_numpy()[row] for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, node, fp, root, n, at)], names)
+                for to in range(0, len(row), TOKEN_ROWS):
+                    some = slice(to, to + TOKEN_ROWS)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[some]) for c in (token, node, fp, root, n, at)],
+                                                      pa.array([held[i] for i in row[some].tolist()], pa.binary())], names)
 
     share = similarity / (1 + similarity)
 
     def meet(batches):
-        for token, node, fp, root, n, at in runs_of(batches):
+        for token, node, fp, root, n, at, held in runs_of(batches):
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            fps, room = fp.view(np.uint64), n - at
+            fps, room, out = fp.view(np.uint64), n - at, [np.zeros((2, 0), np.int64)]
             for begin, end in zip(starts.tolist(), np.append(starts[1:], len(token)).tolist()):
+                tree = root[begin:end].copy()
                 for i in range(begin, end - 1):
                     rest = slice(i + 1, end)
                     enough = np.minimum(room[rest], room[i]) >= share * (n[rest] + n[i]) - 1e-9
-                    hit = np.flatnonzero(enough & (root[rest] != root[i]) & close(fps[rest], node[rest], fps[i], node[i]))
-                    if len(hit):
-                        yield from _pair_batches(np.full(len(hit), node[i]), node[rest][hit])
-
-    rows = dense.select("node", "fp", "root", "text").mapInArrow(first_shingles, ", ".join(f"{c} long" for c in names))
+                    apart = tree[i + 1 - begin:] != tree[i - begin]
+                    hit = i + 1 + np.flatnonzero(enough & apart & close(fps[rest], node[rest], fps[i], node[i]))
+                    told = (n[hit] <= SETS) & (n[i] <= SETS)
+                    short = hit[told]
+                    if len(short):
+                        sets = np.frombuffer(b"".join(held[short].tolist()), np.uint64)
+                        common = np.add.reduceat(np.isin(sets, np.frombuffer(held[i], np.uint64)).astype(np.int64), starts_of(n[short])[:-1])
+                        short = short[common >= share * (n[short] + n[i]) - 1e-9]
+                        # One link to each tree; from here on they are one.
+                        others, first = np.unique(tree[short - begin], return_index=True)
+                        short = short[first]
+                        tree[np.isin(tree, others)] = tree[i - begin]
+                    linked = np.concatenate([short, hit[~told]])
+                    out.append(np.stack([np.full(len(linked), node[i]), node[linked]]))
+                if len(out) > 10_000:
+                    yield from _pair_batches(*np.concatenate(out, axis=1))
+                    out = [np.zeros((2, 0), np.int64)]
+            yield from _pair_batches(*np.concatenate(out, axis=1))
+
+    rows = dense.select("node", "fp", "root", "text").mapInArrow(first_shingles, ", ".join(f"{c} long" for c in names[:-1]) + ", held binary")
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long")
 
 

@@ -125,6 +125,30 @@ def test_lookalikes_give_few_candidates(spark, monkeypatch):
     assert sum(compared) < 20 * len(rows)
 
 
+@pytest.mark.parametrize("sets", [512, 20])
+def test_links_of_a_large_group_are_a_forest(spark, sets, monkeypatch):
+    """250 texts of one base, up to two words replaced: all links are kept, but not as all pairs; 20: long texts, all pairs."""
+    monkeypatch.setattr(near_copies, "SETS", sets)
+    rng, base, rows = random.Random(4), [f"b{i}" for i in range(150)], []
+    for i in range(250):
+        own = list(base)
+        for at in rng.sample(range(5, 145), 1 + i % 2):
+            own[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    rows = [(i, t) for i, t in dict((t, i) for i, t in rows).items()]
+    held = {i: shingles(t.encode(), 5) for t, i in rows}
+    links = [(a, b) for a in held for b in held if a < b and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])]
+    nodes = spark.createDataFrame([(i, 0, i, t) for t, i in rows], "node long, fp long, root long, text string")
+    pairs = near_copies.prefix_pairs(nodes, near_copies.Close(13, 0.8), 5, 0.8)
+    texts = nodes.select("node", "text")
+    found = near_copies.similar(near_copies._in_order(pairs), texts, 5, 0.8)
+    groups = lambda some: {r.node: r.root for r in near_copies.components(spark.createDataFrame(some, "a long, b long")).collect()}
+    assert groups(found.collect()) == groups(links)
+    tokens = sum(len(s) - math.ceil(0.8 * len(s)) + 1 for s in held.values())
+    assert len(links) > tokens
+    assert sets == 20 or pairs.count() < tokens
+
+
 def test_recall_over_all_pairs_of_the_test_table(spark):
     """Of all pairs of different texts of 0.8 and more, with no bound on bits, nine in ten are in one group."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
