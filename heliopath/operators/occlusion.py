@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import RAD, angle_between, planar_segment_m, project, rad, ray_polygon_m
-from .spatial import RAY_CELL_M, cells_around, cells_of_box, explode_cells, explode_ray, nearest_any, nearest_within, settled, spread
+from .spatial import RAY_CELL_M, cell, cells_of_box, explode_cells, explode_ray, nearest_any, nearest_within, settled, spread
 
 RAY_M = 4500.0
 PROBES_M = (250.0, 600.0, 1200.0, 2400.0)
@@ -129,17 +129,20 @@ def near_tunnel(points: DataFrame, tunnel_segments: DataFrame, max_m: float = TU
                 by: list[str] | None = None) -> DataFrame:
     """point_ids with either end of their segment within 14 m of a tunnel line.
 
-    ``points``: point_id, x, y, x2, y2. ``tunnel_segments``: ax, ay, bx, by_.
+    ``points``: point_id, x, y, x2, y2. ``tunnel_segments``: ax, ay, bx, by_. Places where several points
+    end and lines that several tunnels share are tested once; a place lies in one cell, a line is listed in those within reach.
     """
     by = by or []
     ends = points.select("point_id", *by, F.explode(F.array(
         F.struct(F.col("x").alias("x"), F.col("y").alias("y")),
         F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("_e")).select("point_id", *by, "_e.*")
     size = 4 * max_m
-    p = explode_cells(ends, cells_around("x", "y", size))
-    t = explode_ray(tunnel_segments, "ax", "ay", F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"), size)
+    place, line = [*by, "x", "y"], [*by, "ax", "ay", "bx", "by_"]
+    p = ends.select(*place).distinct().withColumns({"cx": cell("x", size), "cy": cell("y", size)})
+    t = explode_ray(tunnel_segments.select(*line).distinct(), "ax", "ay", F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"), size,
+                    margin=max_m * 1.001)
     hit = p.join(t, [*by, "cx", "cy"]).filter(planar_segment_m("x", "y", "ax", "ay", "bx", "by_") < max_m)
-    return hit.select("point_id").distinct()
+    return ends.join(hit.select(*place).distinct(), place, "left_semi").select("point_id").distinct()
 
 
 def best_profile(points: DataFrame, profiles: DataFrame) -> DataFrame:
