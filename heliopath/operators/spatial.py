@@ -99,6 +99,15 @@ def nearest_within(points: DataFrame, samples: DataFrame, max_m: float, point_id
     return _best_within(points, samples, max_m, point_id, keep or [], sample_id, by or [])
 
 
+def nearest_of_places(points: DataFrame, samples: DataFrame, max_m: float, point_id: str = "point_id",
+                      sample_id: str = "sample_id", keep: list[str] | None = None) -> DataFrame:
+    """As ``nearest_within``, for points of which many share a place: each place is looked up once."""
+    places = points.select("x", "y").distinct().withColumn("_place", F.struct("x", "y"))
+    near = nearest_within(places, samples, max_m, "_place", sample_id, keep)
+    found = near.select("_place.x", "_place.y", *[c for c in near.columns if c != "_place"])
+    return points.select(point_id, "x", "y").join(found, ["x", "y"]).drop("x", "y")
+
+
 BROADCAST_CELLS = 50_000
 
 

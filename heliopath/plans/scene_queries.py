@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, osm, solar
 from ..operators import occlusion, paths, tiles
-from ..operators.spatial import nearest_any, nearest_within, settled
+from ..operators.spatial import nearest_any, nearest_of_places, nearest_within, settled
 from ..sources import scene_build as build
 from . import sqltext as S
 from .registry import query, rounded
@@ -328,8 +328,8 @@ te AS (SELECT point_id, full_, CASE WHEN rz IS NOT NULL THEN cl END cl, CASE WHE
 def _buildings(spark, sf):
     b = osm.with_height_model(view(spark, sf, "fx_buildings"), "tag_height", "tag_levels", "tag_min_height", "tag_min_level")
     b = occlusion.with_bounds(b.withColumn("polygon", occlusion.square("cx", "cy", "half_m")))
-    near = nearest_within(b.select("building_id", F.col("cx").alias("x"), F.col("cy").alias("y")), view(spark, sf, "fx_terrain"),
-                          500.0, "building_id", keep=["elevation"])
+    near = nearest_of_places(b.select("building_id", F.col("cx").alias("x"), F.col("cy").alias("y")), view(spark, sf, "fx_terrain"),
+                             500.0, "building_id", keep=["elevation"])
     return b.join(near.select("building_id", F.col("elevation").alias("ground")), "building_id", "left").withColumn(
         "ground_error_m", F.lit(2.0))
 

@@ -26,3 +26,14 @@ def test_shared_tunnels_and_ends_are_tested_once(spark, monkeypatch):
     got = [r.point_id for r in occlusion.near_tunnel(points, tunnels).collect()]
     assert sorted(got) == [i for i in range(210) if i % 21 in near] and 0 < len(near) < 20
     assert listed == [7]
+
+
+def test_shared_places_are_looked_up_once(spark, monkeypatch):
+    points = spark.range(300).selectExpr("id building_id", "double(id % 10 * 37) x", "double(id % 5 * 90) y")
+    samples = spark.range(400).selectExpr("id sample_id", "double(id % 20 * 25) x", "double(floor(id / 20) * 25) y", "double(id * 7 % 100) elevation")
+    rows = lambda df: sorted(tuple(r) for r in df.select("building_id", "sample_id", "elevation", "distance").collect())
+    want = rows(spatial.nearest_within(points, samples, 12.0, "building_id", keep=["elevation"]))
+    looked, plain = [], spatial._best_within
+    monkeypatch.setattr(spatial, "_best_within", lambda p, *a: (looked.append(p.count()), plain(p, *a))[1])
+    assert rows(spatial.nearest_of_places(points, samples, 12.0, "building_id", keep=["elevation"])) == want != []
+    assert looked == [10]
