@@ -37,3 +37,17 @@ def test_shared_places_are_looked_up_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "_best_within", lambda p, *a: (looked.append(p.count()), plain(p, *a))[1])
     assert rows(spatial.nearest_of_places(points, samples, 12.0, "building_id", keep=["elevation"])) == want != []
     assert looked == [10]
+
+
+def test_verdicts_test_copies_of_a_building_once(spark, monkeypatch):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 45.0, 5.0), (2, 0.0, 90.0, 90.0, 5.0)], "point_id long, x double, y double, sun_azimuth double, sun_altitude double")
+    roofs = spark.range(60).selectExpr("id building_id", "double(id % 6 * 60) cx", "double(id % 6 * 60 + id % 2) cy", "10d half_m", "10d ground", "2d ground_error_m",
+                                       "40d height_lower", "40d height_upper", "0d min_height_lower", "0d min_height_upper")
+    roofs = occlusion.with_bounds(roofs.withColumn("polygon", occlusion.square("cx", "cy", "half_m")))
+    samples = spark.createDataFrame([(1, 0.0, 0.0, 10.0)], "sample_id long, x double, y double, elevation double")
+    rows = lambda b: sorted(tuple(r) for r in occlusion.planar_occlusion(points, b, samples).collect())
+    want = rows(roofs.filter("building_id < 6"))
+    tested, plain = [], occlusion.ray_hits
+    monkeypatch.setattr(occlusion, "ray_hits", lambda p, b, **k: (tested.append(b.count()), plain(p, b, **k))[1])
+    assert rows(roofs) == want and any(r[2] for r in want)
+    assert tested == [6]
