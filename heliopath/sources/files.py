@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STEP = ("struct<distance:double,duration:double,name:string,ref:string,toll:boolean,tunnel:string,"
@@ -19,10 +19,13 @@ GPS_FIX = ("session_id bigint, fix_id bigint, fix_ms bigint, lat double, lng dou
 
 
 def route_candidates(responses: DataFrame, column: str = "response", od: str = "od_id") -> DataFrame:
-    """One row per route of a landed routing response."""
+    """One row per route of a landed routing response.
+
+    The plain explode would make the planner test the parsed routes for being empty first, which parses each text twice more.
+    """
     parsed = responses.withColumn("_r", F.from_json(column, ROUTES))
     rows = parsed.select(od, F.col("_r.waypoints").alias("waypoints"),
-                         F.posexplode("_r.routes").alias("candidate_index", "route"))
+                         F.posexplode_outer("_r.routes").alias("candidate_index", "route")).filter(F.col("candidate_index").isNotNull())
     return rows.select(od, F.col("candidate_index").cast("long").alias("candidate_index"), "route.*", "waypoints")
 
 
@@ -71,13 +74,15 @@ def route_has_toll(legs: str = "legs") -> Column:
 
 
 def maneuvers(steps: DataFrame, key: str = "route_id") -> DataFrame:
-    """Steps with a maneuver other than departing, and the distance before them."""
-    from ..operators.paths import running_totals
+    """Steps with a maneuver other than departing, and the distance before them.
 
-    lengths = running_totals(steps.select(key, "step_idx", F.coalesce("distance", F.lit(0.0)).alias("m")), ["m"], key)
-    before = lengths.select(key, "step_idx", (F.col("m_run") - F.col("m")).alias("cumulative_m"))
-    kept = steps.filter(F.col("maneuver").isNotNull() & (F.coalesce("maneuver.type", F.lit("")) != "depart"))
-    return kept.join(before, [key, "step_idx"]).select(
+    The steps of a key come out of one landed document, so they fit a task, and the texts are parsed once.
+    """
+    w = Window.partitionBy(key).orderBy("step_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = F.coalesce("distance", F.lit(0.0))
+    summed = steps.withColumn("cumulative_m", F.sum(m).over(w) - m)
+    kept = summed.filter(F.col("maneuver").isNotNull() & (F.coalesce("maneuver.type", F.lit("")) != "depart"))
+    return kept.select(
         key, "step_idx", F.col("maneuver.type").alias("type"),
         F.coalesce("maneuver.modifier", F.lit("")).alias("modifier"),
         F.get("maneuver.location", F.lit(1)).alias("lat"), F.get("maneuver.location", F.lit(0)).alias("lng"),
