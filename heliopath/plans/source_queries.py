@@ -12,7 +12,7 @@ from ..operators import paths, resample
 from ..operators.destinations import trim_to_road
 from ..sources import files
 from ..sources.redaction import redact_props, sanitize_json
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from . import sqltext as S
 from .registry import query, rounded
 from .views import cte, table, view
@@ -75,13 +75,13 @@ def p11(spark, sf):
 
 @query("J28_W11_anchored_geometry")
 def j28(spark, sf):
-    run = paths.with_running_m(paths.route_segments(view(spark, sf, "fx_route_vertices")))
+    run = cut_lineage(paths.with_running_m(paths.route_segments(view(spark, sf, "fx_route_vertices"))))
     steps = files.route_steps(_read(spark, sf), ["route_id"])
-    spot = steps.select("route_id", "step_idx", files.step_is_tunnel().alias("is_tunnel"), F.get("maneuver.location", F.lit(1)).alias("lat"),
-                        F.get("maneuver.location", F.lit(0)).alias("lng")).withColumn("point_id", F.struct("route_id", "step_idx"))
+    tagged = F.struct("route_id", "step_idx", files.step_is_tunnel().alias("is_tunnel")).alias("point_id")
+    spot = steps.select(tagged, "route_id", F.get("maneuver.location", F.lit(1)).alias("lat"), F.get("maneuver.location", F.lit(0)).alias("lng"))
     near = nearest_segment(spot, run, carry=["start_m", "seg_m"])
-    anchors = spot.join(near.select("point_id", (F.col("start_m") + F.col("seg_m") * F.col("t")).alias("anchor_m")), "point_id")
-    return rounded(resample.sample_distances(run, anchors.select("route_id", "step_idx", "anchor_m", "is_tunnel")), 3, "target_m")
+    anchors = near.select("point_id.*", (F.col("start_m") + F.col("seg_m") * F.col("t")).alias("anchor_m"))
+    return rounded(resample.sample_distances(run, anchors, stored=True), 3, "target_m")
 
 
 @query("P18_road_destination", f"""{STEPS},
