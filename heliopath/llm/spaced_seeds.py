@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Index, parts_of, texts_of
+from .tables import Index, let_go, parts_of, texts_of
 
 MASKS = ("11111", "1111011", "11011011", "111011101")
 STORE = 400_000
@@ -193,8 +193,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 8, s
 
             table, hashes = shared.value, WordHashes()
             for batch in batches:
-                words = hashes.of(texts_of(batch.column(at)))
-                yield batch.filter(pa.array([not table.leaks(w, least_words, share) for w in words], pa.bool_()))
+                for part in parts_of(batch, text=at):
+                    words = hashes.of(texts_of(part.column(at)))
+                    yield part.filter(pa.array([not table.leaks(w, least_words, share) for w in words], pa.bool_()))
+            # What follows in a pipeline may run in the JVM alone, beside this worker.
+            del table, hashes
+            let_go()
         return work
 
     for table in seed_tables(benchmark, item_col, item_text_col, block_words):
