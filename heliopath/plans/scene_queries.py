@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, osm, solar
 from ..operators import occlusion, paths, tiles
 from ..operators.spatial import nearest_any, nearest_of_places, nearest_within, settled
+from ..session import cut_lineage
 from ..sources import scene_build as build
 from . import sqltext as S
 from .registry import query, rounded
@@ -179,7 +180,7 @@ def j3(spark, sf):
 @query("J2_X3_tile_status", f"""{VR}, {NEED}
 SELECT route_id, tx, ty, CASE WHEN (tx*7+ty)%5=0 THEN 'missing' WHEN (tx+ty)%11=0 THEN 'failed' ELSE 'loaded' END AS status FROM nd""")
 def j2(spark, sf):
-    need = _required(spark, sf)
+    need = cut_lineage(_required(spark, sf))  # read three times
     have = need.filter((F.col("tx") * 7 + F.col("ty")) % 5 != 0)
     return tiles.tile_status(need, have, have.filter((F.col("tx") + F.col("ty")) % 11 == 0))
 
