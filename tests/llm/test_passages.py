@@ -180,3 +180,40 @@ def test_wrapped_and_commented_notices_are_found(spark):
     assert sorted((r.doc_id, r.license, r.verdict) for r in got) == sorted(want)
     for r in got:
         assert rows[r.doc_id][1][r.begin:r.begin + r.length] == r.wording
+
+
+def test_all_texts_that_share_a_passage_or_a_fragment_meet(spark, monkeypatch):
+    """Also those that share a fragment alone, whose seeds other texts held before, and each two of many holders."""
+    rng = random.Random(21)
+    pool = lambda i: [f"t{i}x{k}" for k in range(40)]
+    for block in (3_000_000, 60):
+        monkeypatch.setattr(chaining, "BLOCK_SEEDS", block)
+        p = rng.choices(WORDS, k=180)
+        spans = [(0, 180), (0, 70), (50, 120), (55, 125), (100, 180), (0, 180), (110, 180)]
+        rows = [(i, " ".join([*pool(i), *p[a:b], *pool(i + 50)])) for i, (a, b) in enumerate(spans)]
+        want = {(i, j) for i, (a, b) in enumerate(spans) for j, (c, d) in enumerate(spans) if i > j and min(b, d) - max(a, c) >= 50}
+        for order in (rows, rows[::-1]):
+            got = repeated_passages(documents(spark, order, 4)).collect()
+            assert {(r.doc_id, r.other_id) for r in got} == want
+            for r in got:
+                (a, b), (c, d) = spans[r.doc_id], spans[r.other_id]
+                assert r.words == r.equal == min(b, d) - max(a, c)
+    # A line that repeats often, and a passage behind it in one of the texts.
+    line, q = rng.choices(WORDS, k=12), rng.choices(WORDS, k=60)
+    rows = [(1, " ".join([*line * 12, *pool(1), *q])), (2, " ".join([*q, *pool(2), *line * 30])), (3, " ".join([*pool(3), *q]))]
+    got = repeated_passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id, r.words) for r in got if r.begin >= 40 or r.doc_id == 3} >= {(3, 1, 60), (3, 2, 60)}
+    assert {(2, 1)} <= {(r.doc_id, r.other_id) for r in got if r.words == 144}
+    assert {(2, 1)} <= {(r.doc_id, r.other_id) for r in got if r.words == 60}
+
+
+def test_matches_hold_whatever_the_sign_of_a_hash():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    seed = rng.integers(-2**63, 2**63 - 1, 200)
+    side = lambda row: chaining._side(np.concatenate([seed, seed[:3].repeat(12)]), np.full(236, row), np.arange(236))
+    one, other = side(1), side(2)
+    i, j = chaining.matches_of(*[(s[0], s[4], s[5]) for s in (one, other)])
+    got = set(zip(one[2][i].tolist(), other[2][j].tolist()))
+    assert got == {(k, k) for k in range(236)} and len(i) == len(got)
