@@ -102,10 +102,13 @@ def next_maneuver(fixes: DataFrame, maneuvers: DataFrame, reach_m: float = 2000.
     route_id, v_idx, lat, lng, type, modifier. Passed ones (more than two
     vertices back) and those behind (over 120 degrees, unless under 60 m) drop.
     """
-    near = explode_geo_points(fixes.select("fix_id", "route_id", "lat", "lng", "heading", "seg_idx"), "lat", "lng", reach_m)
-    at = explode_geo_points(maneuvers.select("route_id", F.col("v_idx").alias("m_idx"), F.col("lat").alias("m_lat"),
-                                             F.col("lng").alias("m_lng"), "type", "modifier"),
-                            "m_lat", "m_lng", reach_m, around=False)
+    # A fix lies in one cell, four reaches wide; a maneuver is listed in the cells that come within reach.
+    size, slack = 4 * reach_m, reach_m / 111000.0
+    near = explode_geo_points(fixes.select("fix_id", "route_id", "lat", "lng", "heading", "seg_idx"), "lat", "lng", size,
+                              around=False, slack_deg=slack)
+    at = maneuvers.select("route_id", F.col("v_idx").alias("m_idx"), F.col("lat").alias("m_lat"), F.col("lng").alias("m_lng"), "type", "modifier")
+    at = explode_geo_segments(at.withColumns({"lat1": F.col("m_lat"), "lng1": F.col("m_lng"), "lat2": F.col("m_lat"), "lng2": F.col("m_lng")}),
+                              size, slack, margin=reach_m * 1.001).drop("lat1", "lng1", "lat2", "lng2")
     pairs = near.join(at, ["route_id", "band", "cx", "cy"]).filter(F.col("m_idx") >= F.coalesce("seg_idx", F.lit(-1)) - 2)
     pairs = pairs.withColumn("maneuver_m", haversine_m("lat", "lng", "m_lat", "m_lng")).filter(F.col("maneuver_m") < reach_m)
     side = angle_between(bearing_deg("lat", "lng", "m_lat", "m_lng"), "heading")
