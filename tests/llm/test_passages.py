@@ -198,6 +198,12 @@ def test_all_texts_that_share_a_passage_or_a_fragment_meet(spark, monkeypatch):
             for r in got:
                 (a, b), (c, d) = spans[r.doc_id], spans[r.other_id]
                 assert r.words == r.equal == min(b, d) - max(a, c)
+    # Copies meet all texts that their words meet, and each other.
+    copied = [*rows, (7, rows[1][1].upper()), (8, rows[1][1])]
+    same = {1: 1, 7: 1, 8: 1}
+    got = repeated_passages(documents(spark, copied)).collect()
+    pairs = {(i, j) for i in range(9) for j in range(i) if (max(same.get(i, i), same.get(j, j)), min(same.get(i, i), same.get(j, j))) in want}
+    assert {(r.doc_id, r.other_id) for r in got} == pairs | {(7, 1), (8, 1), (8, 7)}
     # A line that repeats often, and a passage behind it in one of the texts.
     line, q = rng.choices(WORDS, k=12), rng.choices(WORDS, k=60)
     rows = [(1, " ".join([*line * 12, *pool(1), *q])), (2, " ".join([*q, *pool(2), *line * 30])), (3, " ".join([*pool(3), *q]))]
